@@ -111,3 +111,53 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hex_sha256(column):
     return F.sha2(column, 256)
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of the texts as UTF-8; null is empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return ends - ends[0], data
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of values[offsets[i]:offsets[i + 1]] for each i; 0 for empty ranges."""
+    total = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)))
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """XXH3-64 of each word; each distinct word is hashed once."""
+    import xxhash
+
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    packed = words.dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    own = np.fromiter((digest(w) for w in packed.dictionary.to_pylist()), np.uint64, len(packed.dictionary))
+    return own[packed.indices.to_numpy()]
+
+
+def runs_of(hashes: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of each `size` consecutive elements (by doubling, so about log2(size) passes); shorter input has none."""
+    if len(hashes) < size:
+        return np.zeros(0, np.uint64)
+    done, have, part, width, at = None, 0, hashes.astype(np.uint64), 1, size
+    power = factor % (1 << 64)
+    while at:  # binary powers: `part` covers `width` elements
+        if at & 1:
+            if done is None:
+                done, have = part, width
+            else:
+                n = min(len(done), len(part) - have)
+                done = done[:n] * np.uint64(power) + part[have : have + n]
+                have += width
+        at >>= 1
+        if at:
+            n = len(part) - width
+            part = part[:n] * np.uint64(power) + part[width:]
+            width, power = width * 2, power * power % (1 << 64)
+    return mix(done[: len(hashes) - size + 1])
