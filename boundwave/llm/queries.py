@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .quality import op10_quality
+from .rans import op8_rans
+from .urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
     "op5_bpe": op5_bpe,
+    "op6_urls": op6_urls,
+    "op8_rans": op8_rans,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_urls": OP6_SQL,
+}
