@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .quality import op10_quality
 from .rans import op8_rans
+from .simhash import op9_simhash
 from .urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
     "op8_rans": op8_rans,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
