@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .linededup import OP2_SQL, op2_lines
 from .quality import op10_quality
 from .rans import op8_rans
 from .simhash import op9_simhash
 from .urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
+    "op2_lines": op2_lines,
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
     "op8_rans": op8_rans,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lines": OP2_SQL,
     "op6_urls": OP6_SQL,
 }
