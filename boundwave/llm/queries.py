@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .linededup import OP2_SQL, op2_lines
+from .phrases import op7_substrings
 from .quality import op10_quality
 from .rans import op8_rans
 from .simhash import op9_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
+    "op7_substrings": op7_substrings,
     "op8_rans": op8_rans,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
