@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .decontaminate import op1_decontaminate
 from .linededup import OP2_SQL, op2_lines
 from .phrases import op7_substrings
 from .quality import op10_quality
@@ -11,6 +12,7 @@ from .simhash import op9_simhash
 from .urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
