@@ -9,11 +9,13 @@ from .phrases import op7_substrings
 from .quality import op10_quality
 from .rans import op8_rans
 from .simhash import op9_simhash
+from .toxicity import op4_toxicity
 from .urlfilter import OP6_SQL, op6_urls
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
     "op7_substrings": op7_substrings,
