@@ -8,6 +8,7 @@ from .linededup import OP2_SQL, op2_lines
 from .phrases import op7_substrings
 from .quality import op10_quality
 from .rans import op8_rans
+from .secrets import op3_secrets
 from .simhash import op9_simhash
 from .toxicity import op4_toxicity
 from .urlfilter import OP6_SQL, op6_urls
@@ -15,6 +16,7 @@ from .urlfilter import OP6_SQL, op6_urls
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_urls": op6_urls,
