@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, bytes_of, mix, named, per_slice, runs_of, sums, table, word_hashes, words_of
 
 #: Labelled rows for the fit and the calibration together, at most.
-SAMPLE = 4000
-CHARS, WORDS = 1 << 14, 1 << 14
+SAMPLE = 1500
+BITS = 12
+CHARS, WORDS = 1 << BITS, 1 << BITS
 #: Fixed thresholds: of the base rules, and the least calibrated probability of a kept text.
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT, LEAST_PROBABILITY = 20, 8, 30, 0.5
 #: Fixed value of the contract: characters that count as symbols.
@@ -52,14 +53,14 @@ def hashed(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             code = wide[: len(wide) - size + 1].copy()
             for i in range(1, size):
                 code = code * np.uint32(factor) + wide[i : len(wide) - size + 1 + i]
-            code = (code * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - 14)
+            code = (code * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
         else:
             code = np.zeros(0, np.uint32)
         found.append((_within(code, ends, size), code))
     offsets, words = words_of(texts)
     h = word_hashes(words)
     for size in (1, 2):
-        code = (runs_of(h, size) >> np.uint64(64 - 14)).astype(np.uint32) + np.uint32(CHARS)
+        code = (runs_of(h, size) >> np.uint64(64 - BITS)).astype(np.uint32) + np.uint32(CHARS)
         found.append((_within(code, offsets, size), code))
     return found
 
