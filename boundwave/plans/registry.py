@@ -1,4 +1,9 @@
-"""Registered queries and the DuckDB SQL that gives the same rows."""
+"""All registered queries, and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import series_queries
+from ..streaming import lorenzo_stream
+
+QUERIES: dict = {**series_queries.QUERIES, **lorenzo_stream.QUERIES}
+ORACLE_SQL: dict[str, str] = {**series_queries.ORACLE_SQL, **lorenzo_stream.ORACLE_SQL}
