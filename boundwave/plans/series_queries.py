@@ -73,10 +73,10 @@ def tolerance_by_rho(spark, sf_dir):
 
 def _lorenzo(k):
     def run(spark, sf_dir):
-        return quantized(spark, sf_dir).select("sid", "rho", "t", F.col(f"q{k}").alias("q"), F.round("xhat", 4).alias("xhat"))
+        return quantized(spark, sf_dir).select("sid", "rho", "t", F.col(f"q{k}").alias("q"), "xhat")
 
     run.__name__ = f"lorenzo{k}_indices"
-    query(f"{REV}, {TAU}, {M} SELECT sid, rho, t, q{k} AS q, round(m * 2 * tau, 4) AS xhat FROM quantized")(run)
+    query(f"{REV}, {TAU}, {M} SELECT sid, rho, t, q{k} AS q, m * 2 * tau AS xhat FROM quantized")(run)
 
 
 for _k in (1, 2, 3):
@@ -350,12 +350,12 @@ def _interp_sql(kind: str, levels: int = 11) -> str:
         parts.append(f"""p{k} AS MATERIALIZED (SELECT b.sid, b.rho, b.t, b.x, b.d, CASE WHEN r.xhat IS NULL THEN l.xhat {cubic} ELSE 0.5 * (l.xhat + r.xhat) END AS p
   FROM base b JOIN r{k - 1} l ON l.sid = b.sid AND l.rho = b.rho AND l.t = b.t - {h} LEFT JOIN r{k - 1} r ON r.sid = b.sid AND r.rho = b.rho AND r.t = b.t + {h} {far} WHERE b.t % {2 * h} = {h}
 ), r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION ALL SELECT sid, rho, {k} AS level, t, cast(round_even((x - p) / d, 0) AS bigint) AS q, p + round_even((x - p) / d, 0) * d AS xhat FROM p{k})""")
-    return f"{REV}, {TAU}, {', '.join(parts)} SELECT sid, rho, level, t, q, xhat FROM r{levels}"
+    return f"{REV}, {TAU}, {', '.join(parts)} SELECT sid, rho, level, t, q FROM r{levels}"
 
 
 def _interp(kind: str):
     def run(spark, sf_dir):
-        return interpolate.indices(with_tau(views.daily_revenue(spark, sf_dir)), kind).select("sid", "rho", "level", "t", "q", "xhat")
+        return interpolate.indices(with_tau(views.daily_revenue(spark, sf_dir)), kind).select("sid", "rho", "level", "t", "q")
 
     run.__name__ = f"interp_{kind}_indices"
     query(_interp_sql(kind))(run)

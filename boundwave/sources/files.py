@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import decimal_scale, gap_fill, number
 
-_STEM = F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
+
+def _stem():
+    return F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
 
 
 def _binary(spark: SparkSession, path: str, parse, schema: str = "sid string, t long, x double") -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(_STEM.alias("sid"), "content")
+    files = spark.read.format("binaryFile").load(path).select(_stem().alias("sid"), "content")
 
     def run(batches):
         for batch in batches:
@@ -77,7 +79,7 @@ def plane_rows(width: int, height: int, plane: int, rows: int) -> tuple[int, int
 def csv_values(spark: SparkSession, path: str) -> DataFrame:
     """Numbers of text files, several to a line in reading order."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), "value").where(F.length(F.trim("value")) > 0)
-    cells = lines.select(_STEM.alias("sid"), "line", F.posexplode(F.split("value", ",")).alias("i", "v"))
+    cells = lines.select(_stem().alias("sid"), "line", F.posexplode(F.split("value", ",")).alias("i", "v"))
     t = F.row_number().over(Window.partitionBy("sid").orderBy("line", "i")) - 1
     return cells.select("sid", t.cast("long").alias("t"), F.rint(F.trim("v").try_cast("double")).alias("x"))
 
@@ -96,8 +98,8 @@ def grid_load(spark: SparkSession, path: str, least: int = 3000, missing: float
 
 def transit(spark: SparkSession, path: str) -> DataFrame:
     """Riders by station and hour from JSON records; hours that a station lacks are 0, repeated records add up."""
-    raw = spark.read.schema("transit_timestamp string, station_complex_id string, r double").json(path, multiLine=True)
-    sums = raw.groupBy(F.col("station_complex_id").alias("sid"), F.col("transit_timestamp").alias("at")).agg(F.sum("r").alias("x"))
+    raw = spark.read.schema("transit_timestamp string, station_complex_id string, r string").json(path, multiLine=True)
+    sums = raw.groupBy(F.col("station_complex_id").alias("sid"), F.col("transit_timestamp").alias("at")).agg(F.sum(F.col("r").try_cast("double")).alias("x"))
     hours = sums.select("at").distinct()
     index = hours.select("at", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("t"))  # a row for each hour
     return sums.select("sid").distinct().crossJoin(index).join(sums, ["sid", "at"], "left").select("sid", "t", F.rint(F.coalesce("x", F.lit(0.0))).alias("x"))
@@ -106,14 +108,14 @@ def transit(spark: SparkSession, path: str) -> DataFrame:
 def pageviews(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("items array<struct<views: bigint>>").json(path, multiLine=True)
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode("items").alias("t", "item"))
-    return rows.select(_STEM.alias("sid"), F.col("t").cast("long").alias("t"), F.col("item.views").cast("double").alias("x"))
+    return rows.select(_stem().alias("sid"), F.col("t").cast("long").alias("t"), F.col("item.views").cast("double").alias("x"))
 
 
 def timestamped(spark: SparkSession, path: str) -> DataFrame:
     """CSV of timestamp and value, scaled to integers that keep four digits of the range."""
     raw = spark.read.option("header", True).schema("timestamp string, value double").csv(path).select(F.col("_metadata.file_path").alias("path"), "timestamp", "value")
     t = F.row_number().over(Window.partitionBy("sid").orderBy("timestamp")) - 1
-    rows = raw.select(_STEM.alias("sid"), "timestamp", F.col("value").alias("x")).select("sid", t.cast("long").alias("t"), "x")
+    rows = raw.select(_stem().alias("sid"), "timestamp", F.col("value").alias("x")).select("sid", t.cast("long").alias("t"), "x")
     return decimal_scale(rows).select("sid", "t", F.col("v").cast("double").alias("x"))
 
 
@@ -126,7 +128,7 @@ def results(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def containers(spark: SparkSession, path: str) -> DataFrame:
     """(group_id, blob) of container files."""
-    return spark.read.format("binaryFile").load(path).select(_STEM.alias("group_id"), F.col("content").alias("blob"))
+    return spark.read.format("binaryFile").load(path).select(_stem().alias("group_id"), F.col("content").alias("blob"))
 
 
 def write_npy(series: DataFrame, path: str) -> None:
