@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import named, per_slice, table, words_of
+from .common import chosen, per_slice, table, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Upper bound of texts' distinct words that one worker remembers.
@@ -250,23 +250,21 @@ class WordEncoder:
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def _by_pieces(self, words: list[str]) -> list[list[int]]:
-        alone = [w if w.isascii() and w.isalpha() and w.islower() else None for w in words]
+        letters, end, library = self.letters, self.merges.end, self.library
         split: list[list[str]] = []
         pieces: dict[str, int] = {}
-        for w, one in zip(words, alone, strict=True):
-            if one is not None:
-                got = [one]
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                got = [w]
             elif PLAIN.fullmatch(w):
-                got = self.split.findall(w.lower())
-            else:
-                got = self.split.findall(self.library.normalizer.normalize_str(w))
+                got = [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in self.split.findall(w.lower())]
+            else:  # the library's own splitting where tables of letters may differ
+                got = [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(w))]
             for p in got:
                 if p not in pieces:
                     pieces[p] = len(pieces)
             split.append(got)
-        letters, end = self.letters, self.merges.end
-        lifted = [(p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()])) + end for p in pieces]
-        ids = self.merges.encode(lifted)
+        ids = self.merges.encode([p + end for p in pieces])
         return [ids[pieces[got[0]]] if len(got) == 1 else [i for p in got for i in ids[pieces[p]]] for got in split]
 
     def _by_library(self, words: list[str]) -> list[list[int]]:
@@ -370,7 +368,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "ids"])
 
-    rows = docs.select(named(docs, id_column, "id"), named(docs, text_column, "text"))
+    rows = chosen(docs, id=id_column, text=text_column)
     return rows.mapInArrow(per_slice(work), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -399,7 +397,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
+    rows = chosen(docs, "doc_id", "text")
     return rows.mapInArrow(per_slice(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

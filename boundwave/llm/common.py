@@ -60,9 +60,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def named(df: DataFrame, column: str, alias: str):
-    """A column by its exact name (names may clash but for case, or hold dots)."""
-    return df["`" + column.replace("`", "``") + "`"].alias(alias)
+def flat(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, …: no name of the caller's can clash with one of an operator's."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, column: str) -> str:
+    """The name of `column` in flat(df): the exact one, else one that differs in case alone."""
+    names = df.columns
+    if column in names:
+        return f"c{names.index(column)}"
+    return f"c{[n.lower() for n in names].index(column.lower())}"
+
+
+def chosen(df: DataFrame, *same: str, **named: str) -> DataFrame:
+    """Only these columns, under their own or the given names."""
+    rows = flat(df)
+    return rows.select(*(F.col(place(df, column)).alias(alias) for alias, column in (dict(zip(same, same, strict=True)) | named).items()))
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `df` whose doc_id is not among those of `gone` (doc_id); rows with a null one stay."""
+    gone = gone.select(F.col("doc_id").alias("gone"))
+    return flat(df).join(gone, F.col(place(df, "doc_id")) == F.col("gone"), "left_anti").toDF(*df.columns)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

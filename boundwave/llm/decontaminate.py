@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, named, per_slice, runs_of, table, words_of
+from .common import chosen, mix, per_slice, runs_of, table, words_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
 BLOCK_BYTES = 16 << 20
@@ -175,7 +175,7 @@ class Items:
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size."""
     block, held = [], 0
-    for r in benchmark.select(named(benchmark, "item_id", "item_id"), named(benchmark, "text", "text")).where("text IS NOT NULL").toLocalIterator():
+    for r in chosen(benchmark, "item_id", "text").where("text IS NOT NULL").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         held += len(r["text"])
         if held >= limit:
@@ -188,7 +188,7 @@ def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[t
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the best match of each document and item it holds."""
     spark = docs.sparkSession
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
+    rows = chosen(docs, "doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
     found = []
     for block in blocks_of(benchmark):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, hex_sha256, named, per_slice, table, written
+from .common import SPACE, flat, hex_sha256, per_slice, place, table, written
 from .firsts import later_occurrences
 
 LEAST = 10
@@ -99,7 +99,8 @@ def kept_lines(text: pa.Array, bitmap: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of `docs` with what is left of their texts, under "kept", and the counts n_lines and n_dropped."""
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"), F.struct(*(named(docs, c, f"c{i}") for i, c in enumerate(docs.columns))).alias("rest"))
+    rows = flat(docs)
+    rows = rows.select(F.col(place(docs, "doc_id")).cast("long").alias("doc_id"), F.col(place(docs, "text")).alias("text"), F.struct(*rows.columns).alias("rest"))
     rows = rows.withColumn("row_key", F.xxhash64("text"))
     joined = rows.join(keep_bitmaps(rows, least), ["doc_id", "row_key"], "left")
     done = joined.withColumn("k", kept_lines("text", "bitmap"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, named, per_slice, written
+from .common import chosen, mix, per_slice, without, written
 from .components import components
 from .simhash import fingerprint, near_duplicates, shingle_hashes
 
@@ -84,7 +84,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float = SIMILARITY)
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(node, root) of every document that is a near copy in the group of a smaller one, its root."""
-    rows = docs.select(named(docs, "doc_id", "doc_id").cast("long").alias("doc_id"), named(docs, "text", "text")).where("doc_id IS NOT NULL")
+    rows = chosen(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id IS NOT NULL")
     own = written(sketches(rows))
     heads = written(own.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.min_by("fps", "doc_id").alias("fps")))
     same = own.join(heads.select("words_key", "node"), "words_key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
@@ -98,4 +98,4 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is the least of its group; rows without doc_id stay."""
     gone = near_copy_groups(docs).select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hex_sha256, named, partitions, per_slice, runs_of, table, word_hashes, words_of, written
+from .common import chosen, hex_sha256, partitions, per_slice, runs_of, table, word_hashes, words_of, written
 from .firsts import later_occurrences
 
 SPAN, PHRASE = 50, 25
@@ -203,7 +203,7 @@ def kept_words(text: pa.Array, key: pa.Array, ats: pa.Array, whole: pa.Array) ->
 
 def dedup_phrases(docs: DataFrame) -> DataFrame:
     """doc_id, what is left of each text's words (joined by one space), n_words and n_removed."""
-    rows = docs.select(named(docs, "doc_id", "doc_id").cast("long").alias("doc_id"), named(docs, "text", "text")).withColumn("text_key", F.xxhash64("text"))
+    rows = chosen(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     joined = rows.join(repeated_windows(rows), "doc_id", "left").withColumn("k", kept_words("text", "text_key", "ats", "whole"))
     return joined.select("doc_id", F.col("k.text").alias("kept"), "k.n_words", "k.n_removed")
 

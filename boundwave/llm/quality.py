@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, bytes_of, mix, named, per_slice, runs_of, sums, table, word_hashes, words_of
+from .common import chosen, SPACE, bytes_of, mix, per_slice, runs_of, sums, table, word_hashes, words_of
 
 #: Labelled rows for the fit and the calibration together, at most.
 SAMPLE = 1500
@@ -130,15 +130,15 @@ def calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
     """(text, label, fold) of at most `limit` labelled rows, the first in the order of a hash of doc_id."""
-    chosen = (
-        labels.select(named(labels, "doc_id", "doc_id"), named(labels, column, "label").cast("int"))
+    few = (
+        chosen(labels, doc_id="doc_id", label=column).withColumn("label", F.col("label").cast("int"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .withColumn("order", F.xxhash64("doc_id"))
         .orderBy("order", "label")
         .limit(limit)
     )
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "label", "order")  # `limit` rows at most
+    rows = chosen(docs, "doc_id", "text")
+    return rows.join(F.broadcast(few), "doc_id").select("text", "label", "order")  # `limit` rows at most
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
@@ -226,7 +226,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
         columns = [batch.column(0), *(pa.array(v, pa.int64()) for v in c.values()), pa.array(failed), pa.array(~failed & (p >= LEAST_PROBABILITY)), pa.array(p)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", *c, "base_failed", "kept", "probability"])
 
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
+    rows = chosen(docs, "doc_id", "text")
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
     return rows.mapInArrow(per_slice(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
 

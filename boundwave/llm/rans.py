@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .common import drop_table, named, partitions, per_slice, shared_dir, table, written
+from .common import chosen, drop_table, partitions, per_slice, shared_dir, table, written
 
 SCALE = 20
 LOW = np.uint64(1) << np.uint64(31)
@@ -142,7 +142,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, by: str = "library") -> D
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
         return pa.RecordBatch.from_arrays([batch.column(0), packed.cast(pa.binary())], names=["doc_id", "ids"])
 
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
+    rows = chosen(docs, "doc_id", "text")
     return rows.mapInArrow(per_slice(work), "doc_id long, ids binary")
 
 

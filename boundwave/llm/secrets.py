@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, per_slice, table
+from .common import chosen, per_slice, table
 from .forest import Forest, grow_forest
 
 #: Words beside a candidate that speak for or against a secret, words of the dictionary, path parts.
@@ -190,8 +190,8 @@ def findings(docs: DataFrame, forest: Forest | None = None, path_column: str | N
         kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "kind", "probability", "value"])
 
-    path = named(docs, path_column, "path").cast("string") if path_column else F.lit(None).cast("string")
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"), path.alias("path"))
+    rows = chosen(docs, "doc_id", "text", **({"path": path_column} if path_column else {}))
+    rows = rows.withColumn("path", F.col("path").cast("string") if path_column else F.lit(None).cast("string"))
     return rows.mapInArrow(per_slice(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FINDING}")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, per_slice, table, written
+from .common import chosen, per_slice, table, written
 from .components import components
 
 WIDTH, LEVELS, LEAF = 3, 21, 1024
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         found = [fingerprint(shingle_hashes((t or "").encode(), size)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text"))
+    rows = chosen(docs, "doc_id", "text")
     return rows.mapInArrow(per_slice(work), "doc_id long, fp long")
 
 

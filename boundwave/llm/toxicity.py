@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, per_slice, table, words_of
+from .common import chosen, flat, place, per_slice, table, words_of
 
 SAMPLE, FEATURES, REMEMBERED = 12_000, 50_000, 300_000
 FOLDS = 5
@@ -69,7 +69,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
 
     counts = np.zeros(N**3, np.int64)
-    got = docs.select(named(docs, "text", "text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # N**3 rows at most
+    got = chosen(docs, "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # N**3 rows at most
     counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
     return counts
 
@@ -209,10 +209,10 @@ def held_out(doc_id) -> F.Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """(text, label) of at most `limit` labelled rows that are not held out."""
-    ids = labels.select(named(labels, "doc_id", "doc_id"), named(labels, "toxic", "label").cast("int"))
+    ids = chosen(labels, doc_id="doc_id", label="toxic").withColumn("label", F.col("label").cast("int"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "label").limit(limit)
-    return docs.select(named(docs, "doc_id", "doc_id"), named(docs, "text", "text")).join(F.broadcast(chosen), "doc_id").select("text", "label")  # `limit` rows at most
+    few = ids.orderBy(F.xxhash64("doc_id"), "label").limit(limit)
+    return chosen(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")  # `limit` rows at most
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Scorer:
@@ -281,7 +281,7 @@ def _fit(strongest: np.ndarray, strong: np.ndarray, label: np.ndarray) -> tuple[
 
 
 def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of `docs`, and score double (a column named so before is replaced in the result by the new one)."""
+    """doc_id and score of each row, and all columns of `docs` under c0, c1, … in their order."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(scorer)
 
@@ -292,7 +292,8 @@ def scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
         own = shared.value
         return pa.array(np.concatenate([np.zeros(0), *(own.probability(*own.evidence(texts.slice(a, b - a))) for a, b in slices(texts))]))
 
-    return docs.withColumn("score", score(docs["text"]))
+    rows = flat(docs)
+    return rows.select(F.col(place(docs, "doc_id")).alias("doc_id"), score(F.col(place(docs, "text"))).alias("score"), *rows.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

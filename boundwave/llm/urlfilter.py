@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import named, partitions, table
+from .common import chosen, partitions, table
 
 #: Fixed values of the contract: host, path, verdict.
 RULES = [
@@ -87,7 +87,7 @@ def rule_events(rules: DataFrame, parts: int) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of each row of `pages`."""
     parts = partitions(pages.sparkSession)
-    urls = pages.select(named(pages, id_column, "page_id"), named(pages, url_column, "url")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    urls = chosen(pages, page_id=id_column, url=url_column).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
     urls = urls.select("page_id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int"))
     asked = urls.select("part", F.explode(ancestors(F.col("host"))).alias("ancestor"), F.struct("page_id", "url", "copies", "host", "path").alias("page"))
