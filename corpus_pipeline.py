@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boundwave.llm import bpe, decontaminate, linededup, nearcopies, toxicity
-from boundwave.llm.common import drop_table, table, written
+from boundwave.llm.common import drop_table, table, without, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer takes for toxic go."""
     scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, scorer).where("score < 0.5").select(*docs.columns)
+    kept = toxicity.scores(docs, scorer).where("score < 0.5").drop("doc_id", "score")
+    return kept.toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
