@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="boundwave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="boundwave-")
+        root = _OWN[app]
     return f"{root.rstrip('/')}/scratch/{uuid.uuid4().hex}"
