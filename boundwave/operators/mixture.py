@@ -33,3 +33,32 @@ def fair_bits(resid: np.ndarray, span: float | None = None, gamma: float = 0.999
     span = max(2 * np.abs(r).max() + 1, 3.0) if span is None else span
     p = np.vstack([laplace_grid(r), np.full((1, len(r)), 1 / span)])
     return mixture_bits((1 - ESCAPE) * np.clip(p, 0, 1) + ESCAPE / span, gamma)
+
+
+def trailing_mean(v: np.ndarray, adapt: int, floor: float) -> np.ndarray:
+    """Mean of earlier values with forgetting 1 - 1/adapt, begun with the mean of the first `adapt` values or `floor`."""
+    out, acc = np.empty(len(v)), max(float(v[:adapt].mean()) if len(v) else 0.0, floor)
+    for i, x in enumerate(v):
+        out[i] = acc
+        acc += (x - acc) / adapt
+    return out
+
+
+def order0(a: np.ndarray) -> float:
+    """Empirical entropy and 32 bits for each distinct value."""
+    _, c = np.unique(a, return_counts=True)
+    return float((c * np.log2(c.sum() / c)).sum() + 32 * len(c)) if len(c) else 0.0
+
+
+def linear_laplace(x: np.ndarray, order: int, adapt: int = 256) -> float:
+    """Linear prediction with a Laplace scale that follows the residuals; 96 bits of header for each weight."""
+    from .predictors import autoregression
+
+    if len(x) <= order + 2:
+        return order0(x)
+    p = np.rint(np.lib.stride_tricks.sliding_window_view(x, order)[:-1] @ autoregression(x, order))
+    r = np.abs(x[order:] - p)
+    scale, span = trailing_mean(r, adapt, 0.5), x.max() - x.min() + 1
+    top = np.exp(-(r + 0.5) / scale)
+    mass = np.where(r == 0, 1 - top, 0.5 * (np.exp(-np.maximum((r - 0.5) / scale, 0)) - top))
+    return float(-np.log2(np.maximum((1 - ESCAPE) * mass + ESCAPE / span, 1e-300)).sum()) + 96 * order

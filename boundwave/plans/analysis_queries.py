@@ -249,3 +249,35 @@ def synthetic_meta(spark, sf_dir):
     from ..sources import synthetic
 
     return synthetic.meta(synthetic.corpus(spark, 2000))
+
+
+@query()
+def classical_code_lengths(spark, sf_dir):
+    """Bits a sample of the classical ideal codes: order 0, differences, linear prediction of orders 8 and 32."""
+
+    def work(_sid, x):
+        n = max(1, len(x))
+        out = {"order0": mixture.order0(x), "delta": mixture.order0(np.diff(x, prepend=x[:1])), "linear8": mixture.linear_laplace(x, 8), "linear32": mixture.linear_laplace(x, 32)}
+        return {"code": np.array(list(out)), "bpv": np.array(list(out.values())) / n}
+
+    return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "code string, bpv double")
+
+
+@query()
+def recalibrated_expert_bits(spark, sf_dir):
+    """Experts around trailing quantiles whose scale is recalibrated as it goes: even, by the model's shape, and with t3 tails."""
+    w = by_t().rowsBetween(-64, -1)
+    d = views.daily_revenue(spark, sf_dir)
+    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).over(w)
+    span = F.max("x").over(Window.partitionBy("sid")) - F.min("x").over(Window.partitionBy("sid")) + 1
+    d = d.select("sid", "t", "x", q.alias("q"), span.alias("span")).where("t >= 64").withColumn("t", F.col("t") - 64)
+    d = d.select("sid", "t", "x", "span", F.col("q")[1].alias("med"), F.greatest((F.col("q")[2] - F.col("q")[0]) / (2 * codelength.LN5), F.lit(1e-3)).alias("s"))
+    d = d.withColumn("r", F.abs(F.col("x") - F.col("med")))
+    d = codelength.running_mean(codelength.running_mean(d, "r", 256, "ra"), "s", 256, "sa").withColumn("scale", F.col("ra") / F.col("sa") * F.col("s"))
+    mean = lambda p: F.round(F.avg(codelength.bits(codelength.escaped(p, F.col("span")))), 6)
+    x, med = F.col("x"), F.col("med")
+    return d.groupBy("sid").agg(
+        mean(codelength.laplace_mass(x, med, F.col("ra"))).alias("even"),
+        mean(codelength.laplace_mass(x, med, F.col("scale"))).alias("shaped"),
+        mean(codelength.t3_mass(x, med, F.col("scale") * (codelength.LN5 / codelength.T3_Q90))).alias("shaped_t3"),
+    )

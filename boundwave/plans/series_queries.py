@@ -237,7 +237,12 @@ def laplace_t3_bits(spark, sf_dir):
     return d.groupBy("sid").agg(cost(codelength.laplace_mass(F.col("v"), zero, F.col("b"))).alias("laplace_bits"), cost(codelength.t3_mass(F.col("v"), zero, F.col("b"))).alias("t3_bits"))
 
 
-@query()
+@query(f"""{REV}, w AS (SELECT sid, t, x, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) OVER (PARTITION BY sid ORDER BY t ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS q, max(x) OVER (PARTITION BY sid) - min(x) OVER (PARTITION BY sid) + 1 AS span FROM series
+), e AS (SELECT sid, t, span, q, unnest([x - 0.5, x + 0.5]) AS y, unnest([-1.0::double, 1.0::double]) AS sign FROM w WHERE t >= 64
+), k AS (SELECT *, len(list_filter(q, lambda v: v <= y)) AS k, greatest(q[9] - q[1], 1e-6) AS spread FROM e
+), f AS (SELECT sid, t, span, sign * least(greatest(CASE WHEN k = 0 THEN 0.1::double * exp((y - q[1]) / greatest(q[2] - q[1], spread * 1e-3)) WHEN k = 9 THEN 1 - 0.1::double * exp(-(y - q[9]) / greatest(q[9] - q[8], spread * 1e-3)) ELSE k * 0.1::double + 0.1::double * (y - q[k]) / greatest(q[k + 1] - q[k], 1e-6) END, 0), 1) AS f FROM k
+), p AS (SELECT sid, t, span, sum(f) AS p FROM f GROUP BY ALL)
+SELECT sid, count(*) AS n, round(sum(-log2(0.9999::double * least(greatest(p, 0), 1) + 0.0001::double / span)), 3) AS bits FROM p GROUP BY sid""")
 def quantile_cdf_bits(spark, sf_dir):
     """Bits of each sample under the nine quantiles of the 64 samples before it."""
     w = Window.partitionBy("sid").orderBy("t").rowsBetween(-64, -1)
