@@ -158,9 +158,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(partitions(spark), -(-size // SHARD_BYTES))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    ids = written(rows.select("doc_id", "text_key", F.md5("text").alias("md5"), "shard"))
-    least = ids.groupBy("text_key", "md5").agg(F.min("doc_id").alias("least")).where("least IS NOT NULL")
-    copies = ids.join(least, ["text_key", "md5"]).where("doc_id > least").select("doc_id", "text_key", "shard").distinct()
+    second = F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long")
+    ids = written(rows.where("text IS NOT NULL").select(F.col("text_key").alias("h1"), second.alias("h2"), "doc_id", "text_key", "shard"))
+    copies = later_occurrences(ids, ["text_key", "shard"]).distinct()  # one text may be on a third of all rows
     found = written(anchors(rows))
     confirmed = found.groupBy("run").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("run")
     wanted = found.join(confirmed, "run", "left_semi").select("shard", "run").distinct()
