@@ -224,7 +224,7 @@ class Merges:
 class WordEncoder:
     """Encodes texts word by word, each distinct word once: normalising, splitting and merging never cross ASCII white space.
 
-    `by` is "speculate" (this module's merges) or "library" (the tokenizers library encodes the distinct words)."""
+    `by` is "speculate" (this module's merges) or "library" (the library's own model encodes the distinct pieces)."""
 
     def __init__(self, path: str, by: str = "speculate"):
         from tokenizers import Tokenizer
@@ -249,34 +249,31 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
+    def _pieces(self, word: str) -> list[str]:
+        """A word's pieces in the vocabulary's letters; by the library's own splitting where tables of letters may differ."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return [word]
+        if PLAIN.fullmatch(word):
+            letters = self.letters
+            return [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in self.split.findall(word.lower())]
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
+
     def _by_pieces(self, words: list[str]) -> list[list[int]]:
-        letters, end, library = self.letters, self.merges.end, self.library
-        split: list[list[str]] = []
-        pieces: dict[str, int] = {}
-        for w in words:
-            if w.isascii() and w.isalpha() and w.islower():
-                got = [w]
-            elif PLAIN.fullmatch(w):
-                got = [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in self.split.findall(w.lower())]
-            else:  # the library's own splitting where tables of letters may differ
-                got = [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(w))]
-            for p in got:
-                if p not in pieces:
-                    pieces[p] = len(pieces)
-            split.append(got)
-        ids = self.merges.encode([p + end for p in pieces])
+        split = list(map(self._pieces, words))
+        pieces = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        if self.by == "library":
+            model = self.library.model
+            ids = [[t.id for t in model.tokenize(p)] for p in pieces]
+        else:
+            ids = self.merges.encode([p + self.merges.end for p in pieces])
         return [ids[pieces[got[0]]] if len(got) == 1 else [i for p in got for i in ids[pieces[p]]] for got in split]
 
-    def _by_library(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
     def _learn(self, words: list[str]) -> None:
         odd = [w for w in words if any(s in w for s in self.special)] if self.special else []
-        if odd and self.by != "library":
-            plain = [w for w in words if not any(s in w for s in self.special)]
-            self._store(odd, self._by_library(odd))
-            words = plain
-        self._store(words, self._by_library(words) if self.by == "library" else self._by_pieces(words))
+        if odd:  # words that hold a special token's string
+            self._store(odd, [e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)])
+            words = [w for w in words if not any(s in w for s in self.special)]
+        self._store(words, self._by_pieces(words))
 
     def _store(self, words: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
