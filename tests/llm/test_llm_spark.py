@@ -161,6 +161,40 @@ def test_near_copies_go(spark):
     assert sorted(str(x["doc_id"]) for x in got.collect()) == ["1", "4", "5", "None"]
 
 
+def brute_groups(texts):
+    """node -> least document of its group, over all pairs of five-word shingle sets."""
+    own = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts}
+    root = {i: i for i in own}
+    for a in own:
+        for b in own:
+            if a < b and root[a] != root[b] and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]) > 0:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return {k: v for k, v in root.items() if k != v}
+
+
+@pytest.mark.parametrize("kind", ["family", "short"])
+def test_every_similar_pair_is_joined(spark, kind):
+    r = np.random.default_rng(11)
+    word = lambda: f"w{r.integers(1 << 40)}"
+    texts = []
+    if kind == "family":  # the template in the middle; its copies are similar to it, but not to each other
+        for base in (0, 1000):
+            plain = [word() for _ in range(200)]
+            for i in range(130):
+                w = list(plain)
+                for at in r.choice(200, 3 if i != 65 else 0, replace=False):
+                    w[at] = word()
+                texts.append((base + i, " ".join(w)))
+    else:  # four of five shingles are shared: the least similarity there is
+        for i in range(400):
+            w = [word() for _ in range(9)]
+            texts += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    got = {x["node"]: x["root"] for x in nearcopies.near_copy_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = brute_groups(texts)
+    assert got == want and len(want) == (258 if kind == "family" else 400)
+
+
 def test_bpe(docs, none, texts):
     enc = bpe.encoder(bpe.vocabulary_path())
     want = []
