@@ -2,7 +2,8 @@
 
 Texts and items are compared as words (lower-cased, marks at both ends taken off) in five-word shingles.
 A window of an item's own length can only be similar if it holds one of its shingles, so windows are laid
-over every place where a shingle of any item occurs, at every offset. Each window gets a SimHash; the index
+over every place where a shingle of any item occurs, at every offset; a document shorter than the item is one
+window, compared with all items of that length. Each other window gets a SimHash; the index
 cuts fingerprints into RADIUS + 1 blocks, so that any fingerprint within RADIUS equals the item's in one
 block at least, and returns all of them. Pairs are then verified: the shingles' weighted Jaccard similarity
 (weight: how often a shingle occurs) must be `SIMILARITY` or more.
@@ -119,6 +120,14 @@ class Items:
         close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
         yield from zip(window[close].tolist(), item[close].tolist(), strict=True)
 
+    def holding(self, own: np.ndarray, n: int, size: int) -> list[int]:
+        """Items of n words of which the shingles `own` may hold enough."""
+        least = SIMILARITY * (n - size + 1) - 1e-9
+        if len(own) < least:
+            return []
+        items = np.flatnonzero(np.array(self.sizes) == n)
+        return [int(i) for i in items if np.isin(self.shingles[i], own).sum() >= least]
+
     def matches(self, words: np.ndarray, hits: dict[int, np.ndarray]) -> dict[int, tuple[float, int]]:
         """item -> (similarity, first word) of the best window; `hits`: places of items' shingles, by shingle size."""
         wanted = defaultdict(set)
@@ -130,9 +139,13 @@ class Items:
                     wanted[size, n].add(p)
         best: dict[int, tuple[float, int]] = {}
         for (size, n), places in wanted.items():
-            if len(words) < n:
-                continue
             own = runs_of(words, size)
+            if len(words) < n:  # one window over the whole document
+                for item in self.holding(own, n, size):
+                    s = similarity(Counter(own.tolist()), self.weights[item])
+                    if s >= SIMILARITY and (item not in best or s > best[item][0]):
+                        best[item] = (s, 0)
+                continue
             starts = sorted({s for p in places for s in range(max(0, p + size - n), min(p, len(words) - n) + 1)})
             count = n - size + 1
             for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1):
@@ -164,7 +177,8 @@ class Items:
         for d, places in sorted(hits.items()):
             for item, (s, at) in self.matches(h[offsets[d] : offsets[d + 1]], places).items():
                 first = int(place[offsets[d] + at])
-                rows.append((d, self.ids[item], first, int(place[offsets[d] + at + self.sizes[item] - 1]) - first + 1, s))
+                end = min(offsets[d] + at + self.sizes[item], offsets[d + 1])
+                rows.append((d, self.ids[item], first, int(place[end - 1]) - first + 1, s))
         d, item, start, n, s = zip(*rows, strict=True) if rows else ((), (), (), (), ())
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(d, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())],

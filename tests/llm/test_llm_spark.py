@@ -246,6 +246,15 @@ def test_leaks(spark, docs, texts):
     assert decontaminate.leaks(docs, bench.where("item_id > 99")).count() == 0
 
 
+def test_leaks_in_shorter_documents(spark):
+    words = [f"word{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one two three"), (3, " ".join(f"x{i}" for i in range(9)))], "item_id long, text string")
+    texts = [" ".join(words[:39]), " ".join(words[:2] + words[3:]), " ".join(words[:32]), " ".join(words[:3]), "one two", " ".join(f"x{i}" for i in range(8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["start"], x["n_words"]): x["similarity"] for x in decontaminate.leaks(docs, bench).collect()}
+    assert got == pytest.approx({(0, 1, 0, 39): 35 / 36, (1, 1, 0, 39): 33 / 38, (5, 3, 0, 8): 0.8})
+
+
 def test_quality(spark, docs, none, texts):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = {(x["doc_id"], x["n_words"], x["n_repeat_words"], x["base_failed"]) for x in quality.judge(docs, quality.train(docs, labels)).collect()}
