@@ -2,7 +2,7 @@
 
 The channel: a writer may put look-alikes for letters (leetspeak), masks, repeated letters, and marks or
 blanks between letters. A token that shows such traces becomes a lattice of the letters each character may
-stand for; a beam Viterbi search under a character trigram model, counted over all texts of the corpus,
+stand for; an exact Viterbi search under a character trigram model, counted over all texts of the corpus,
 returns the best readings. Any other token is its own only reading.
 
 The scorer learns from labelled rows: word features (the word, its beginnings, its inner letter runs) get
@@ -44,12 +44,15 @@ ALIKE = {
 }
 MASKS = "*#%&_?"
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿"
+#: Marks around a token that never stand for a letter.
+OUTER = ".,;:\"')[]{}«»“”„…–—¿"
 #: Costs (nats) of what the channel does to a letter.
 COST_ALIKE, COST_MASK, COST_MARK, COST_AGAIN, BEAM, READINGS = 1.0, 4.0, 1.5, 0.5, 12, 4
 
 _CODE = np.zeros(0x100, np.uint8)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, N)
-_ODD = re.compile(r"(.)\1\1|[^\W\d_][\d@$!|+(<¡€£¢*#%&_?.\-]+[^\W\d_]|[\d@$!|+(<¡€£¢][^\W\d_]")
+#: A letter written again, or beside a look-alike or a mask; other marks count between letters, or three times.
+_ODD = re.compile(r"([^\W\d_])\1|(.)\2\2|[^\W\d_][\d@$!|+(<¡€£¢*#%&_?.\-]+[^\W\d_]|[^\W\d_][\d@$!|+(<¡€£¢*#%&_?]|[\d@$!|+(<¡€£¢*#%&_?][^\W\d_]")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -96,34 +99,58 @@ def options(char: str) -> list[tuple[str, float]]:
     return found or [("", 3 * COST_MARK)]
 
 
-def readings(token: str, model: np.ndarray) -> list[str]:
-    """The best readings of a token by beam Viterbi search over its lattice."""
+def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float, rest: list[float]) -> list[tuple[float, str]]:
+    """(cost, reading), best first: the READINGS best of each state of two letters, or a beam; none dearer than `limit`."""
     beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for char in token:
-        step: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        choice = options(char)
+    for at, char in enumerate(token):
+        step: dict[tuple[int, int], dict[str, float]] = {}
+        choice = [(letter, price, int(_CODE[ord(letter)]) if letter else 0) for letter, price in options(char)]
+        most = limit - rest[at + 1]
+
+        def put(state, text, cost, step=step, most=most):
+            if cost <= most:
+                held = step.setdefault(state, {})
+                if cost < held.get(text, math.inf):
+                    held[text] = cost
+
         for (a, b), held in beam.items():
-            for cost, text in held:
-                for letter, price in choice:
-                    if not letter:
-                        step.setdefault((a, b), []).append((cost + price, text))
-                        continue
-                    c = int(_CODE[ord(letter)])
-                    step.setdefault((b, c), []).append((cost + price + model[a, b, c], text + letter))
+            prices = model[a, b]
+            for letter, price, c in choice:
+                if not letter:
+                    for cost, text in held:
+                        put((a, b), text, cost + price)
+                    continue
+                more = price + float(prices[c])
+                for cost, text in held:
+                    put((b, c), text + letter, cost + more)
                     if c == b:  # written again
-                        step.setdefault((a, b), []).append((cost + price + COST_AGAIN, text))
-        flat = []
-        for state, held in step.items():
-            cheapest: dict[str, float] = {}
-            for cost, text in held:
-                cheapest[text] = min(cost, cheapest.get(text, cost))
-            flat += [(cost, text, state) for text, cost in cheapest.items()]
-        flat.sort()
-        beam = {}
-        for cost, text, state in flat[:BEAM]:
-            beam.setdefault(state, []).append((cost, text))
-    ends = sorted((cost + model[a, b, 0], text) for (a, b), held in beam.items() for cost, text in held if text)
-    return list(dict.fromkeys(text for _, text in ends))[:READINGS]
+                        put((a, b), text, cost + price + COST_AGAIN)
+        if beam_size is None:
+            beam = {state: sorted((cost, text) for text, cost in held.items())[:READINGS] for state, held in step.items()}
+        else:
+            beam = {}
+            for cost, text, state in sorted((cost, text, state) for state, held in step.items() for text, cost in held.items())[:beam_size]:
+                beam.setdefault(state, []).append((cost, text))
+    best: dict[str, float] = {}
+    for (a, b), held in beam.items():
+        for cost, text in held:
+            if text:
+                best[text] = min(best.get(text, math.inf), cost + float(model[a, b, 0]))
+    return sorted((cost, text) for text, cost in best.items())
+
+
+def readings(token: str, model: np.ndarray) -> list[str]:
+    """The READINGS best readings of a token, by an exact Viterbi search over its lattice.
+
+    A beam gives readings first; what costs more than these, with the least that the characters left can cost,
+    is not followed.
+    """
+    rest = [0.0] * (len(token) + 1)
+    for at in range(len(token) - 1, -1, -1):
+        rest[at] = rest[at + 1] + min(price for _, price in options(token[at]))
+    some = _search(token, model, BEAM, math.inf, rest)
+    limit = some[READINGS - 1][0] + 1e-6 if len(some) >= READINGS else math.inf
+    return [text for _, text in _search(token, model, None, limit, rest)[:READINGS]]
 
 
 def word_features(word: str) -> list[str]:
@@ -149,13 +176,13 @@ class Scorer:
 
     def restored(self, token: str) -> list[str]:
         bare = token.strip(MARKS)
-        if bare.isalpha() and not _ODD.search(bare):
-            return [bare]
         found = [bare] if bare else []
-        core = token.strip(".,;:\"'()[]{}«»“”„…–—¿")
-        if any(c.isalpha() for c in core) and _ODD.search(core):
-            found += readings(core.rstrip("!?"), self.model)
-        return found
+        if token.isalpha() and not _ODD.search(token):
+            return found
+        for core in dict.fromkeys((token.strip(OUTER), token.strip(OUTER + "(!?"))):
+            if any(c.isalpha() for c in core) and _ODD.search(core):
+                found += readings(core, self.model)
+        return list(dict.fromkeys(found))
 
     def score(self, token: str) -> float:
         """The strongest feature of the token's readings; 0 without any."""
@@ -180,10 +207,21 @@ class Scorer:
             strongest[full] = np.maximum.reduceat(value, offsets[:-1][full])
             strong = np.diff(np.concatenate(([0], np.cumsum(value > 0)))[offsets]).astype(float)
             for doc, spaced in self._spaced(distinct, codes, offsets):
-                s = max((self.score(spaced[i:j]) for i in range(min(3, len(spaced))) for j in range(max(i + 3, len(spaced) - 2), len(spaced) + 1)), default=0.0)
+                s = max((self.score(spaced[i:j]) for i, j in self._spans(spaced)), default=0.0)
                 strongest[doc], strong[doc] = max(strongest[doc], s), strong[doc] + (s > 0)
         return strongest, np.log1p(strong)
 
+    def _spans(self, spaced: str) -> Iterator[tuple[int, int]]:
+        """What may be a word in a run of single characters: as long as the longest known word at every start, twice that where it is written oddly, and all but the run's ends."""
+        n = len(spaced)
+        longest = max(8, max((len(f) - 1 for f in self.weights if f[0] == "="), default=0)) * (2 if _ODD.search(spaced) or not spaced.isalpha() else 1)
+        for i in range(n - 2):
+            for j in range(i + 3, min(n, i + longest) + 1):
+                yield i, j
+        for i in range(min(3, n)):
+            for j in range(max(i + longest + 1, n - 2), n + 1):
+                yield i, j
+
     def _spaced(self, distinct: list[str], codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str]]:
         """(text, letters put together) of runs of three or more single characters."""
         single = np.fromiter((len(w) == 1 for w in distinct), bool, len(distinct))[codes].astype(np.int8)

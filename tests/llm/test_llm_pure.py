@@ -177,6 +177,19 @@ def test_restoring_words():
     assert strongest.tolist() == [5.0, 0.0, 0.0, 0.0]
 
 
+def test_restoring_ends_and_runs():
+    counts = np.zeros(toxicity.N**3, np.int64)
+    code = [toxicity._CODE[ord(c)] for c in "the idiot is an ass and a total idiot in the trash of a stupid idiot " * 20]
+    for a, b, c in zip(code, code[1:], code[2:]):
+        counts[(int(a) * toxicity.N + int(b)) * toxicity.N + int(c)] += 1
+    scorer = toxicity.Scorer(toxicity.language_model(counts), {"=idiot": 5.0, "=ass": 5.0, "=trash": 5.0, "=stupid": 5.0})
+    for token in ("idio7", "a$$", "a55", "tras#", "idio*", "*diot", "#diot", "iddiot", "stuupiid", "(idio7)", "idio+!"):
+        assert scorer.score(token) == 5.0, token
+    strongest, _ = scorer.evidence(pa.array(["x y z w a s s q r t u", "b c d e i d 1 o t f g h j", "b c d e f g"]))
+    assert strongest.tolist() == [5.0, 5.0, 0.0]
+    assert toxicity.readings("*" * 60 + "idiot", scorer.model)
+
+
 def test_secret_forest_on_unseen_findings():
     forest = secrets.train(secrets.labelled_findings())
     test = secrets.labelled_findings(800, seed=99)
