@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import chosen, SPACE, bytes_of, mix, per_slice, runs_of, sums, table, word_hashes, words_of
 
 #: Labelled rows for the fit and the calibration together, at most.
-SAMPLE = 1500
-BITS = 12
+SAMPLE = 4000
+BITS = 14  # a bucket of either kind fits 16 bits with a sign
 CHARS, WORDS = 1 << BITS, 1 << BITS
+#: Entries of rows that the fit widens to 64 bits at once.
+BLOCK = 1 << 19
 #: Fixed thresholds: of the base rules, and the least calibrated probability of a kept text.
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT, LEAST_PROBABILITY = 20, 8, 30, 0.5
 #: Fixed value of the contract: characters that count as symbols.
@@ -93,22 +95,34 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 120, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch steps of adaptive size."""
+    """Logistic regression by full-batch steps of adaptive size; rows stay as they are and are read in blocks of about `BLOCK` entries."""
     sizes = np.array([len(a) for a, _ in rows])
-    at, x = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK, prepend=-1))
+    blocks = list(zip(cuts, [*cuts[1:], len(rows)], strict=True))
+
+    def joined(lo, hi):
+        return np.concatenate([a for a, _ in rows[lo:hi]]), np.concatenate([v for _, v in rows[lo:hi]]).astype(float), np.repeat(np.arange(hi - lo), sizes[lo:hi])
+
     w, b = np.zeros(CHARS + WORDS), 0.0
-    scale = np.sqrt(np.bincount(at, weights=x * x, minlength=len(w)) / len(rows)) + 1e-4  # rare n-grams weigh as much as common ones
-    x = x / scale[at] / np.sqrt(len(at) / len(rows))
+    square = np.zeros(len(w))
+    for lo, hi in blocks:
+        at, x, _ = joined(lo, hi)
+        square += np.bincount(at, weights=x * x, minlength=len(w))
+    scale = np.sqrt(square / len(rows)) + 1e-4  # rare n-grams weigh as much as common ones
+    unit = 1 / scale / np.sqrt(sizes.sum() / len(rows))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=x * w[at], minlength=len(rows)) + b, -500, 500)))
-        error = (p - labels) / len(rows)
-        g = np.append(np.bincount(at, weights=x * error[row], minlength=len(w)) + penalty * w, error.sum())
+        g, own = np.append(penalty * w, 0.0), w * unit
+        for lo, hi in blocks:
+            at, x, row = joined(lo, hi)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=x * own[at], minlength=hi - lo) + b, -500, 500)))
+            error = (p - labels[lo:hi]) / len(rows)
+            g[:-1] += np.bincount(at, weights=x * error[row], minlength=len(w)) * unit
+            g[-1] += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w / scale / np.sqrt(len(at) / len(rows)), b
+    return w * unit, b
 
 
 def calibrate(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -146,15 +160,18 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | No
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = features(batch.column(0))
-        lists = [pa.array([a for a, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float64()))]
+        lists = [pa.array([a.astype(np.int16) for a, _ in rows], pa.list_(pa.int16())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))]
         return pa.RecordBatch.from_arrays([*lists, batch.column(1), batch.column(2)], names=["at", "x", "label", "order"])
 
     sample = labelled_sample(docs, labels, "quality", limit)
-    got = sample.mapInArrow(per_slice(work), "at array<int>, x array<double>, label int, order long").toArrow()
-    got = got.sort_by([("order", "ascending"), ("label", "ascending")])
-    at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
-    y = got.column("label").to_numpy().astype(float)
-    rows = [(at[i].values.to_numpy(), x[i].values.to_numpy()) for i in range(len(y))]
+    got = sample.mapInArrow(per_slice(work), "at array<short>, x array<float>, label int, order long").toArrow()
+    y, order = got.column("label").to_numpy(), got.column("order").to_numpy()
+    turn = np.lexsort((y, order))  # rows stay in the chunks they came in, 6 bytes an entry
+    every = []
+    for chunk in got.to_batches():
+        at, x = chunk.column("at"), chunk.column("x")
+        every += [(at[i].values.to_numpy(), x[i].values.to_numpy()) for i in range(len(chunk))]
+    rows, y = [every[i] for i in turn], y[turn].astype(float)
     held = np.arange(len(y)) % 5 == 4
     if any(len(set(y[part])) < 2 for part in (held, ~held)):
         return None

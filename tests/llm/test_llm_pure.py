@@ -163,6 +163,21 @@ def test_quality_counts():
     assert c["n_dup_lines"].tolist() == [1, 0, 0]
 
 
+def test_quality_fit_in_blocks(monkeypatch):
+    assert quality.SAMPLE >= 4000 and quality.CHARS >= 1 << 14 and quality.WORDS >= 1 << 14
+    assert quality.CHARS + quality.WORDS <= 1 << 15  # buckets are sent as 16-bit numbers
+    r = np.random.default_rng(2)
+    rows, labels = [], np.arange(90) % 2.0
+    for y in labels:
+        at = np.sort(r.choice(3000, 200, replace=False)) + int(y) * 500
+        rows.append((at.astype(np.int16), r.random(200).astype(np.float32)))
+    whole = quality.fit(rows, labels)
+    monkeypatch.setattr(quality, "BLOCK", 700)
+    parts = quality.fit(rows, labels)
+    assert np.allclose(whole[0], parts[0], atol=1e-4) and abs(whole[1] - parts[1]) < 1e-4
+    assert all(((whole[0][a] * v).sum() + whole[1] > 0) == (y == 1) for (a, v), y in zip(rows, labels, strict=True))
+
+
 def test_restoring_words():
     texts = "the idiot is an idiot and a total idiot in the tradition of idiots " * 20
     counts = np.zeros(toxicity.N**3, np.int64)
