@@ -47,7 +47,7 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 #: Marks around a token that never stand for a letter.
 OUTER = ".,;:\"')[]{}«»“”„…–—¿"
 #: Costs (nats) of what the channel does to a letter.
-COST_ALIKE, COST_MASK, COST_MARK, COST_AGAIN, BEAM, READINGS = 1.0, 4.0, 1.5, 0.5, 12, 4
+COST_ALIKE, COST_MASK, COST_MARK, COST_AGAIN, READINGS = 1.0, 4.0, 1.5, 0.5, 4
 
 _CODE = np.zeros(0x100, np.uint8)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, N)
@@ -99,7 +99,7 @@ def options(char: str) -> list[tuple[str, float]]:
     return found or [("", 3 * COST_MARK)]
 
 
-def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float, rest: list[float]) -> list[tuple[float, str]]:
+def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float, rest: list[float], cut: list[int] | None = None) -> list[tuple[float, str]]:
     """(cost, reading), best first: the READINGS best of each state of two letters, or a beam; none dearer than `limit`."""
     beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     for at, char in enumerate(token):
@@ -121,6 +121,8 @@ def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float,
                         put((a, b), text, cost + price)
                     continue
                 more = price + float(prices[c])
+                if c != b and held[0][0] + more > most:
+                    continue
                 for cost, text in held:
                     put((b, c), text + letter, cost + more)
                     if c == b:  # written again
@@ -129,7 +131,10 @@ def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float,
             beam = {state: sorted((cost, text) for text, cost in held.items())[:READINGS] for state, held in step.items()}
         else:
             beam = {}
-            for cost, text, state in sorted((cost, text, state) for state, held in step.items() for text, cost in held.items())[:beam_size]:
+            every = sorted((cost, text, state) for state, held in step.items() for text, cost in held.items())
+            if len(every) > beam_size and cut is not None:
+                cut.append(at)
+            for cost, text, state in every[:beam_size]:
                 beam.setdefault(state, []).append((cost, text))
     best: dict[str, float] = {}
     for (a, b), held in beam.items():
@@ -145,10 +150,21 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     A beam gives readings first; what costs more than these, with the least that the characters left can cost,
     is not followed.
     """
+    again = [i for i in range(1, len(token)) if token[i] == token[i - 1]]
+    if 2 ** len(again) <= READINGS and all(c in LETTERS for c in token):  # letters written again alone: all readings are wanted
+        found = {token}
+        for i in again:
+            found |= {"".join(c for k, c in enumerate(token) if k != i)}
+        if len(again) == 2:
+            found.add("".join(c for k, c in enumerate(token) if k not in again))
+        return sorted(found)
     rest = [0.0] * (len(token) + 1)
     for at in range(len(token) - 1, -1, -1):
         rest[at] = rest[at + 1] + min(price for _, price in options(token[at]))
-    some = _search(token, model, BEAM, math.inf, rest)
+    cut: list[int] = []
+    some = _search(token, model, READINGS, math.inf, rest, cut)
+    if not cut:
+        return [text for _, text in some[:READINGS]]
     limit = some[READINGS - 1][0] + 1e-6 if len(some) >= READINGS else math.inf
     return [text for _, text in _search(token, model, None, limit, rest)[:READINGS]]
 
@@ -170,6 +186,7 @@ class Scorer:
     weights: dict[str, float] = field(default_factory=dict)
     fitted: tuple[float, float, float] | None = None
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    longest: int | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {"model": self.model, "weights": self.weights, "fitted": self.fitted, "known": {}}
@@ -214,7 +231,9 @@ class Scorer:
     def _spans(self, spaced: str) -> Iterator[tuple[int, int]]:
         """What may be a word in a run of single characters: as long as the longest known word at every start, twice that where it is written oddly, and all but the run's ends."""
         n = len(spaced)
-        longest = max(8, max((len(f) - 1 for f in self.weights if f[0] == "="), default=0)) * (2 if _ODD.search(spaced) or not spaced.isalpha() else 1)
+        if self.longest is None:
+            self.longest = max(8, max((len(f) - 1 for f in self.weights if f[0] == "="), default=0))
+        longest = self.longest * (2 if _ODD.search(spaced) or not spaced.isalpha() else 1)
         for i in range(n - 2):
             for j in range(i + 3, min(n, i + longest) + 1):
                 yield i, j
