@@ -4,12 +4,14 @@ Texts and items are compared as words (lower-cased, marks at both ends taken off
 A window of an item's own length can only be similar if it holds one of its shingles, so windows are laid
 over every place where a shingle of any item occurs, at every offset; a document shorter than the item is one
 window, compared with all items of that length. Each other window gets a SimHash; the index
-cuts fingerprints into RADIUS + 1 blocks, so that any fingerprint within RADIUS equals the item's in one
-block at least, and returns all of them. Pairs are then verified: the shingles' weighted Jaccard similarity
+cuts fingerprints into `BLOCKS` blocks. Of two fingerprints within RADIUS one block at least differs in
+RADIUS // BLOCKS bits at most, so the values within that distance are looked up in each block, and all items
+found are tested on the whole fingerprint. Pairs are then verified: the shingles' weighted Jaccard similarity
 (weight: how often a shingle occurs) must be `SIMILARITY` or more.
 
-The benchmark is a reference set: it is read in blocks of at most `BLOCK_BYTES`, and each block is sent to
-the workers and run against all documents. Documents are not shuffled, but for the best match of each pair.
+The benchmark is a reference set: it is dealt by a hash into blocks of about `BLOCK_BYTES`; one at a time is
+sent to the workers, run against all documents and written, and then released, so neither the driver nor an
+executor holds more of it. Documents are not shuffled, but for the best match of each pair.
 
 Defined results: null and empty texts match nothing; items without words are ignored; items of fewer than
 five words are one shingle; repeated rows give one match for each doc_id and item; rows without doc_id may
@@ -29,10 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chosen, mix, per_slice, runs_of, table, words_of
+from .common import chosen, mix, per_slice, runs_of, table, words_of, written
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
 BLOCK_BYTES = 16 << 20
+#: Comparisons of block values, and windows, at once.
+AT_ONCE, PART = 1 << 20, 1 << 16
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿"
 SCHEMA = "item_id long, start long, n_words long, similarity double"
 
@@ -67,6 +71,19 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+def stretches(places: np.ndarray, reach: int, last: int) -> list[tuple[int, int]]:
+    """Stretches (start, stop) of the windows that begin up to `reach` before one of the places, at `last` at the latest; no longer than PART each."""
+    places = np.unique(places)
+    low, high = np.maximum(places - reach, 0), np.minimum(places, last) + 1
+    fits = low < high
+    low, high = low[fits], high[fits]
+    if not len(low):
+        return []
+    new = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+    ends = high[np.append(new[1:], len(high)) - 1]
+    return [(k, min(k + PART, int(b))) for a, b in zip(low[new].tolist(), ends, strict=True) for k in range(a, int(b), PART)]
+
+
 class Items:
     """One block of the benchmark: its shingles, and an index of fingerprints for each length of item."""
 
@@ -93,32 +110,32 @@ class Items:
             keys = np.array(sorted(post), np.uint64)
             sieve[keys >> np.uint64(44)] = True
             self.gates[size] = (keys, sieve, post)
-        cuts = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+        cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.prints = np.array([simhashes(own, len(own))[0] for own in self.shingles], np.uint64)
-        self.index: dict[int, list[dict[int, np.ndarray]]] = {}
-        for n in set(self.sizes):
-            own = np.flatnonzero(np.array(self.sizes) == n)
+        #: by item length and block: the distinct values, in order, and the items of each
+        self.index: dict[int, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
+        sizes = np.array(self.sizes, np.int64)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
             self.index[n] = []
             for shift, mask in self.blocks:
-                value = (self.prints[own] >> shift) & mask
-                self.index[n].append({int(v): own[value == v] for v in np.unique(value)})
+                values, at = np.unique((self.prints[own] >> shift) & mask, return_inverse=True)
+                self.index[n].append((values, np.split(own[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at))[:-1])))
 
     def near(self, prints: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        """(window, item of n words) of all fingerprints within RADIUS."""
-        found = []
-        for (shift, mask), held in zip(self.blocks, self.index[n], strict=True):
-            value = (prints >> shift) & mask
-            for v, items in held.items():
-                at = np.flatnonzero(value == v)
-                if len(at):
-                    found.append((np.repeat(at, len(items)), np.tile(items, len(at))))
-        if not found:
-            return
-        key = np.unique(np.concatenate([a * len(self.ids) + b for a, b in found]))
-        window, item = key // len(self.ids), key % len(self.ids)
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        yield from zip(window[close].tolist(), item[close].tolist(), strict=True)
+        """(window, item of n words) of all fingerprints within RADIUS; windows are taken in parts of bounded size."""
+        step = max(1, AT_ONCE // max(len(values) for values, _ in self.index[n]))
+        for k in range(0, len(prints), step):
+            part, seen = prints[k : k + step], set()
+            for (shift, mask), (values, items) in zip(self.blocks, self.index[n], strict=True):
+                window, place = np.nonzero(np.bitwise_count(((part >> shift) & mask)[:, None] ^ values[None, :]) <= RADIUS // BLOCKS)
+                for p in np.unique(place):
+                    at = window[place == p]
+                    for item in items[p].tolist():
+                        close = at[np.bitwise_count(part[at] ^ self.prints[item]) <= RADIUS]
+                        seen.update((int(w) + k, item) for w in close)
+            yield from sorted(seen)
 
     def holding(self, own: np.ndarray, n: int, size: int) -> list[int]:
         """Items of n words of which the shingles `own` may hold enough."""
@@ -130,13 +147,13 @@ class Items:
 
     def matches(self, words: np.ndarray, hits: dict[int, np.ndarray]) -> dict[int, tuple[float, int]]:
         """item -> (similarity, first word) of the best window; `hits`: places of items' shingles, by shingle size."""
-        wanted = defaultdict(set)
+        wanted: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
         for size, places in hits.items():
             post = self.gates[size][2]
-            own = runs_of(words, size)
-            for p in places.tolist():
-                for n in post[int(own[p])]:
-                    wanted[size, n].add(p)
+            shingles, at = np.unique(runs_of(words, size)[places], return_inverse=True)
+            for i, shingle in enumerate(shingles.tolist()):
+                for n in post[shingle]:
+                    wanted[size, n].append(places[at == i])
         best: dict[int, tuple[float, int]] = {}
         for (size, n), places in wanted.items():
             own = runs_of(words, size)
@@ -146,14 +163,11 @@ class Items:
                     if s >= SIMILARITY and (item not in best or s > best[item][0]):
                         best[item] = (s, 0)
                 continue
-            starts = sorted({s for p in places for s in range(max(0, p + size - n), min(p, len(words) - n) + 1)})
             count = n - size + 1
-            for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1):
-                if not len(run):
-                    continue
-                prints = simhashes(own[run[0] : run[-1] + count], count)
+            for first, end in stretches(np.concatenate(places), n - size, len(words) - n):
+                prints = simhashes(own[first : end + count - 1], count)
                 for w, item in self.near(prints, n):
-                    at = int(run[0]) + w
+                    at = first + w
                     s = similarity(Counter(own[at : at + count].tolist()), self.weights[item])
                     if s >= SIMILARITY and (item not in best or s > best[item][0]):
                         best[item] = (s, at)
@@ -187,16 +201,15 @@ class Items:
 
 
 def blocks_of(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size."""
-    block, held = [], 0
-    for r in chosen(benchmark, "item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        held += len(r["text"])
-        if held >= limit:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    """The items, dealt by a hash into blocks of about `limit` bytes; one block at a time is on the driver."""
+    items = chosen(benchmark, "item_id", "text").where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // limit)
+    for i in range(blocks):
+        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).toArrow()
+        if got.num_rows:
+            order = got.sort_by([("item_id", "ascending"), ("text", "ascending")])
+            yield list(zip(order.column(0).to_pylist(), order.column(1).to_pylist(), strict=True))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -204,15 +217,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = chosen(docs, "doc_id", "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words")).alias("b")
     found = []
     for block in blocks_of(benchmark):
-        shared = spark.sparkContext.broadcast(Items(block))
-        found.append(rows.mapInArrow(per_slice(lambda batch, shared=shared: shared.value.scan(batch)), schema))
+        shared = spark.sparkContext.broadcast(Items(block))  # BLOCK_BYTES of text
+        matches = rows.mapInArrow(per_slice(lambda batch, shared=shared: shared.value.scan(batch)), schema)
+        found.append(written(matches.groupBy("doc_id", "item_id").agg(best)))  # an item is in one block, but for repeated ids
+        shared.destroy()
     if not found:
         return spark.createDataFrame([], schema)
     every = reduce(DataFrame.unionByName, found)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words")).alias("b")
-    return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.start")).alias("start"), "b.n_words", "b.similarity")
+    every = every.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return every.select("doc_id", "item_id", (-F.col("b.start")).alias("start"), "b.n_words", "b.similarity")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
