@@ -21,10 +21,11 @@ from .common import partitions, written
 LATER, HEAD, ENDS = 0, 1, 2
 
 
-def later_occurrences(rows: DataFrame, payload: list[str]) -> DataFrame:
+def later_occurrences(rows: DataFrame, payload: list[str], *then: str) -> DataFrame:
     """doc_id and `payload` of the rows (h1 long, h2 long, doc_id long, ...) whose key a smaller doc_id has too.
 
-    `rows` should be cheap to read twice (a written table), as ranges are drawn from a sample of it first."""
+    Within a document rows stand in the order of the columns `then`. `rows` should be cheap to read twice (a
+    written table), as ranges are drawn from a sample of it first; it is not needed any more afterwards."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in payload)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +60,7 @@ def later_occurrences(rows: DataFrame, payload: list[str]) -> DataFrame:
 
     names = ["kind", "part", "doc_id", "from1", "from2", "to1", "to2", *payload]
     spark = rows.sparkSession
-    ranged = rows.select("h1", "h2", "doc_id", *payload).repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id")
+    ranged = rows.select("h1", "h2", "doc_id", *payload).repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", *then)
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(rows.schema[c].dataType) for c in payload]

@@ -1,8 +1,8 @@
 """Line dedup: the first document keeps a line, all others lose it; the result is a bitmap for each document.
 
 Keys of lines (stripped of ASCII white space, A-Z lowered, `LEAST` code points at least) are hashed to 128
-bits and meet in the sorted stream of `firsts`, one row for each key and document. What leaves the stream
-are line numbers, packed to compressed keep bitmaps; texts are shuffled once, to meet their bitmaps.
+bits and meet in the sorted stream of `firsts`, one row for each line, sorted by key, document and position.
+What leaves the stream are line numbers, packed to compressed keep bitmaps; texts are shuffled once, to meet their bitmaps.
 
 Defined results: null and empty texts are one empty line and stay as they are (null becomes empty);
 rows without doc_id keep all lines and count for nobody; rows with one doc_id are one document; repeated
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, flat, hex_sha256, per_slice, place, table, written
+from .common import SPACE, drop_table, flat, hex_sha256, per_slice, place, table, written
 from .firsts import later_occurrences
 
 LEAST = 10
@@ -37,24 +37,22 @@ def line_key(line: bytes, least: int = LEAST) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h1, h2, doc_id, row_key, lines): for each row and distinct key the numbers of its lines."""
+    """(h1, h2, doc_id, row_key, line): a row for each line that has a key."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, ids, rows, lines = [], [], [], []
-        for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found: dict[bytes, list[int]] = {}
+        digests, sizes, lines = [], [], []
+        for text in batch.column(1).to_pylist():
+            before = len(lines)
             for i, line in enumerate((text or "").encode().split(b"\n")):
                 if (key := line_key(line, least)) is not None:
-                    found.setdefault(key, []).append(i)
-            for key, at in found.items():
-                digests.append(xxhash.xxh3_128_digest(key))
-                ids.append(doc)
-                rows.append(row)
-                lines.append(at)
+                    digests.append(xxhash.xxh3_128_digest(key))
+                    lines.append(i)
+            sizes.append(len(lines) - before)
         h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], names=["h1", "h2", "doc_id", "row_key", "lines"])
+        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(row), batch.column(2).take(row), pa.array(lines, pa.int32())], names=["h1", "h2", "doc_id", "row_key", "line"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "row_key").mapInArrow(per_slice(work), "h1 long, h2 long, doc_id long, row_key long, lines array<int>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "row_key").mapInArrow(per_slice(work), "h1 long, h2 long, doc_id long, row_key long, line int")
 
 
 def packed(lines: np.ndarray) -> bytes:
@@ -75,13 +73,15 @@ def unpacked(bitmap: bytes | None, n: int) -> np.ndarray:
 
 def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, row_key, bitmap) of each row of (doc_id, text, row_key) that loses lines."""
-    later = later_occurrences(written(line_keys(docs, least)), ["row_key", "lines"])
+    keys = written(line_keys(docs, least))
+    later = later_occurrences(keys, ["row_key", "line"], "line")
+    drop_table(keys)
 
     @F.arrow_udf("binary")
     def pack(lines: pa.Array) -> pa.Array:
         return pa.array([packed(x.values.to_numpy()) for x in lines], pa.binary())
 
-    of_row = later.distinct().groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("lines")).alias("lines"))  # at most the row's own lines
+    of_row = later.groupBy("doc_id", "row_key").agg(F.collect_set("line").alias("lines"))  # at most the row's own lines
     return of_row.select("doc_id", "row_key", pack("lines").alias("bitmap"))
 
 
