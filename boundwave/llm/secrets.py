@@ -38,7 +38,8 @@ code error message request response version build release token secret password
 TEST_PATH = "test tests spec example examples sample docs doc readme lock fixtures mock".split()
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{12,}+={0,2}")
-ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]+[_-])*(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\s{0,3}(?::=|=|:)\s{0,3}[\"']?([^\s\"',;]{6,})")
+#: Parts of the name before the word ("db_password") need no match of their own: only the value counts.
+ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\s{0,3}(?::=|=|:)\s{0,3}[\"']?([^\s\"',;]{6,})")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 FINDING = "start long, length long, kind string, probability double, value string"
 
