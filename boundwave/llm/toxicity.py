@@ -1,17 +1,21 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
 The channel: a writer may put look-alikes for letters (leetspeak), masks, repeated letters, and marks or
-blanks between letters. A token that shows such traces becomes a lattice of the letters each character may
-stand for; an exact Viterbi search under a character trigram model, counted over all texts of the corpus,
-returns the best readings. Any other token is its own only reading.
+blanks between letters; a run of more than `MASK_RUN` masks is decoration. A token that is not plain letters
+is a lattice of the letters each character may stand for; an exact list-Viterbi search over it (the
+`READINGS` best of each state of two letters) under a character trigram model, counted over all texts of the
+corpus, returns the best readings. A plain token is its own only reading.
 
 The scorer learns from labelled rows: word features (the word, its beginnings, its inner letter runs) get
 their log-odds between toxic and clean documents; a text's evidence is its strongest word and how many
 words are strong, and a logistic regression turns that into a score. At most `SAMPLE` labelled rows, chosen
-by a hash of doc_id, are learned from (a bound of the training data alone).
+by a hash of doc_id, are learned from (a bound of the training data alone). When texts are scored, a token
+is decoded only if some path of its lattice spells a known feature: the readings of any other token cannot
+score. In a run of single characters every stretch that may spell a feature is decoded as a token.
 
 Defined results: null and empty texts have no words and get the score of no evidence; without labelled rows
-of both classes every score is 0; repeated rows give repeated rows; a null doc_id is not held out.
+of both classes every score is 0; repeated rows give repeated rows; a null doc_id is not held out; a text of
+characters outside the letters of the model is scored by the features of its words as they stand.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chosen, flat, place, per_slice, table, words_of
+from .common import chosen, drop_table, flat, place, per_slice, table, words_of, written
 
-SAMPLE, FEATURES, REMEMBERED = 12_000, 50_000, 300_000
+SAMPLE, REMEMBERED, COUNTED_BYTES = 12_000, 100_000, 1 << 20
 FOLDS = 5
 #: A feature counts if it is in this share of the toxic training texts, and has these log-odds, at least.
 LEAST_SHARE, LEAST_WEIGHT = 0.01, 3.5
@@ -49,10 +54,13 @@ OUTER = ".,;:\"')[]{}«»“”„…–—¿"
 #: Costs (nats) of what the channel does to a letter.
 COST_ALIKE, COST_MASK, COST_MARK, COST_AGAIN, READINGS = 1.0, 4.0, 1.5, 0.5, 4
 
+#: Masks in a row that may each hide a letter; tokens up to this length are remembered; first, inexact search.
+MASK_RUN, LONGEST_REMEMBERED, BEAM = 4, 200, 12
+
 _CODE = np.zeros(0x100, np.uint8)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, N)
-#: A letter written again, or beside a look-alike or a mask; other marks count between letters, or three times.
-_ODD = re.compile(r"([^\W\d_])\1|(.)\2\2|[^\W\d_][\d@$!|+(<¡€£¢*#%&_?.\-]+[^\W\d_]|[^\W\d_][\d@$!|+(<¡€£¢*#%&_?]|[\d@$!|+(<¡€£¢*#%&_?][^\W\d_]")
+_AT = {c: i + 1 for i, c in enumerate(LETTERS)}
+_TWICE = re.compile(r"(.)\1", re.S)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -63,7 +71,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
         total = np.zeros(N**3, np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(0)):
+            for a, b in slices(batch.column(0), COUNTED_BYTES):
                 part = pc.utf8_lower(pc.fill_null(batch.column(0).slice(a, b - a), "")).to_pylist()
                 points = np.frombuffer((" ".join(part) + "  ").encode("utf-32-le", "replace"), np.uint32)
                 code = np.where(points < 0x100, _CODE[np.minimum(points, 0xFF)], 0).astype(np.int32)
@@ -87,86 +95,168 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-def options(char: str) -> list[tuple[str, float]]:
-    """(letter, cost) of what a character may stand for; the empty letter: a mark."""
-    if char in LETTERS:
-        return [(char, 0.0)]
-    found = [(c, COST_ALIKE) for c in ALIKE.get(char, "")]
+def options(char: str) -> tuple[list[tuple[int, float]], float | None]:
+    """(code, cost) of the letters a character may stand for, and the cost of dropping it as a mark."""
+    if char in _AT:
+        return [(_AT[char], 0.0)], None
+    found = [(_AT[c], COST_ALIKE) for c in ALIKE.get(char, "")]
     if char in MASKS:
-        found += [(c, COST_MASK) for c in LETTERS[:26]]
+        found += [(c, COST_MASK) for c in range(1, 27)]
     if not char.isalnum():
-        found.append(("", COST_MARK))
-    return found or [("", 3 * COST_MARK)]
-
-
-def _search(token: str, model: np.ndarray, beam_size: int | None, limit: float, rest: list[float], cut: list[int] | None = None) -> list[tuple[float, str]]:
-    """(cost, reading), best first: the READINGS best of each state of two letters, or a beam; none dearer than `limit`."""
-    beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for at, char in enumerate(token):
-        step: dict[tuple[int, int], dict[str, float]] = {}
-        choice = [(letter, price, int(_CODE[ord(letter)]) if letter else 0) for letter, price in options(char)]
-        most = limit - rest[at + 1]
-
-        def put(state, text, cost, step=step, most=most):
-            if cost <= most:
-                held = step.setdefault(state, {})
-                if cost < held.get(text, math.inf):
-                    held[text] = cost
-
-        for (a, b), held in beam.items():
-            prices = model[a, b]
-            for letter, price, c in choice:
-                if not letter:
-                    for cost, text in held:
-                        put((a, b), text, cost + price)
-                    continue
-                more = price + float(prices[c])
-                if c != b and held[0][0] + more > most:
+        return found, COST_MARK
+    return found, None if found else 3 * COST_MARK
+
+
+_OPTIONS: dict[str, tuple[list[tuple[int, float]], float | None]] = {}
+_LONG_MASK = re.compile("[" + re.escape(MASKS) + "]{%d,}" % (MASK_RUN + 1))
+
+
+def lattice(token: str) -> list[tuple[list[tuple[int, float]], float | None]]:
+    """The options of each character."""
+    for char in set(token) - _OPTIONS.keys():
+        if len(_OPTIONS) > 10_000:
+            _OPTIONS.clear()
+        _OPTIONS[char] = options(char)
+    found = [_OPTIONS.get(c) or options(c) for c in token]
+    for m in _LONG_MASK.finditer(token):
+        found[m.start() : m.end()] = [([], COST_MARK)] * (m.end() - m.start())
+    return found
+
+
+class Decoder:
+    """List-Viterbi search under a character model; readings share their beginnings as nodes of a tree."""
+
+    def __init__(self, model: np.ndarray):
+        self.model = model
+        self.least = model.min((0, 1)).tolist()
+        self.prices: dict[int, list[float]] = {}
+
+    def row(self, a: int, b: int) -> list[float]:
+        got = self.prices.get(a * N + b)
+        if got is None:
+            got = self.prices[a * N + b] = self.model[a, b].tolist()
+        return got
+
+    def readings(self, token: str) -> list[str]:
+        """The READINGS best readings of a token, the best first.
+
+        A beam gives readings first. If it had to cut, the exact search follows only what costs no more than
+        these with the least that the characters left can cost, and keeps the best of every state."""
+        steps = lattice(token)
+        rest = [0.0] * (len(steps) + 1)
+        for at in range(len(steps) - 1, -1, -1):
+            choice, drop = steps[at]
+            rest[at] = rest[at + 1] + min([price + min(COST_AGAIN, self.least[c]) for c, price in choice] + ([drop] if drop is not None else []))
+        found, cut = self._search(steps, rest, math.inf, BEAM)
+        if cut:
+            limit = found[READINGS - 1][0] + 1e-6 if len(found) >= READINGS else math.inf
+            found, _ = self._search(steps, rest, limit, None)
+        return [text for _, text in found[:READINGS]]
+
+    def _search(self, steps, rest: list[float], limit: float, beam: int | None) -> tuple[list[tuple[float, str]], bool]:
+        """((cost, reading) in order, whether a beam left something out)."""
+        parent, last, child = [0], [0], {}
+        held, cut = {0: 0.0}, False
+        for at, (choice, drop) in enumerate(steps):
+            step: dict[int, float] = {}
+            most = limit - rest[at + 1]
+            for node, cost in held.items():
+                b = last[node]
+                if drop is not None and cost + drop <= most and cost + drop < step.get(node, math.inf):
+                    step[node] = cost + drop
+                if not choice:
                     continue
-                for cost, text in held:
-                    put((b, c), text + letter, cost + more)
+                prices = self.row(last[parent[node]], b)
+                for c, price in choice:
+                    new = cost + price + prices[c]
+                    if new <= most:
+                        key = node * N + c
+                        to = child.get(key)
+                        if to is None:
+                            to = child[key] = len(parent)
+                            parent.append(node)
+                            last.append(c)
+                        if new < step.get(to, math.inf):
+                            step[to] = new
                     if c == b:  # written again
-                        put((a, b), text, cost + price + COST_AGAIN)
-        if beam_size is None:
-            beam = {state: sorted((cost, text) for text, cost in held.items())[:READINGS] for state, held in step.items()}
-        else:
-            beam = {}
-            every = sorted((cost, text, state) for state, held in step.items() for text, cost in held.items())
-            if len(every) > beam_size and cut is not None:
-                cut.append(at)
-            for cost, text, state in every[:beam_size]:
-                beam.setdefault(state, []).append((cost, text))
-    best: dict[str, float] = {}
-    for (a, b), held in beam.items():
-        for cost, text in held:
-            if text:
-                best[text] = min(best.get(text, math.inf), cost + float(model[a, b, 0]))
-    return sorted((cost, text) for text, cost in best.items())
-
-
-def readings(token: str, model: np.ndarray) -> list[str]:
-    """The READINGS best readings of a token, by an exact Viterbi search over its lattice.
-
-    A beam gives readings first; what costs more than these, with the least that the characters left can cost,
-    is not followed.
-    """
-    again = [i for i in range(1, len(token)) if token[i] == token[i - 1]]
-    if 2 ** len(again) <= READINGS and all(c in LETTERS for c in token):  # letters written again alone: all readings are wanted
-        found = {token}
-        for i in again:
-            found |= {"".join(c for k, c in enumerate(token) if k != i)}
-        if len(again) == 2:
-            found.add("".join(c for k, c in enumerate(token) if k not in again))
-        return sorted(found)
-    rest = [0.0] * (len(token) + 1)
-    for at in range(len(token) - 1, -1, -1):
-        rest[at] = rest[at + 1] + min(price for _, price in options(token[at]))
-    cut: list[int] = []
-    some = _search(token, model, READINGS, math.inf, rest, cut)
-    if not cut:
-        return [text for _, text in some[:READINGS]]
-    limit = some[READINGS - 1][0] + 1e-6 if len(some) >= READINGS else math.inf
-    return [text for _, text in _search(token, model, None, limit, rest)[:READINGS]]
+                        new = cost + price + COST_AGAIN
+                        if new <= most and new < step.get(node, math.inf):
+                            step[node] = new
+            if beam is not None:
+                if len(step) > beam:
+                    step, cut = dict(sorted(step.items(), key=lambda x: x[1])[:beam]), True
+            elif len(step) > READINGS:
+                taken: dict[int, int] = {}
+                kept = {}
+                for node, cost in sorted(step.items(), key=lambda x: x[1]):
+                    state = last[parent[node]] * N + last[node]
+                    n = taken.get(state, 0)
+                    if n < READINGS:
+                        taken[state] = n + 1
+                        kept[node] = cost
+                step = kept
+            held = step
+        out = []
+        for node, cost in held.items():
+            if node:
+                out.append((cost + self.row(last[parent[node]], last[node])[0], node))
+        out.sort()
+        texts = []
+        for cost, node in out[: 2 * READINGS]:
+            letters = []
+            while node:
+                letters.append(LETTERS[last[node] - 1])
+                node = parent[node]
+            texts.append((cost, "".join(reversed(letters))))
+        return sorted(texts), cut
+
+
+class Lexicon:
+    """Known strings as a tree, and which of them the paths of a lattice may spell."""
+
+    def __init__(self, strings):
+        self.kids: list[dict[int, int]] = [{}]
+        self.last, self.ends = [0], [False]
+        for s in sorted(set(strings)):
+            if s and all(c in _AT for c in s):
+                node = 0
+                for c in s:
+                    code = _AT[c]
+                    to = self.kids[node].get(code)
+                    if to is None:
+                        to = self.kids[node][code] = len(self.kids)
+                        self.kids.append({})
+                        self.last.append(code)
+                        self.ends.append(False)
+                    node = to
+                self.ends[node] = True
+
+    def spans(self, token: str, every: bool = False) -> list[tuple[int, int]]:
+        """(start, stop) of stretches that may spell a string; the first alone unless `every`.
+
+        With `every` a stretch starts at a character that is no mask, and each start is followed by itself."""
+        kids, last, ends, found = self.kids, self.last, self.ends, []
+        active: set[tuple[int, int]] = set()
+        for at, (choice, drop) in enumerate(lattice(token)):
+            step = set()
+            codes = [c for c, _ in choice]
+            begins = at if every else 0
+            for node, start in [*active, (0, begins)] if not every or len(codes) < 26 else active:
+                if drop is not None and node:
+                    step.add((node, start))
+                own = kids[node]
+                for c in own.keys() & codes if len(codes) > 4 else codes:
+                    to = own.get(c)
+                    if to is not None:
+                        if ends[to]:
+                            found.append((start, at + 1))
+                            if not every:
+                                return found
+                        step.add((to, start))
+                if node and last[node] in codes:
+                    step.add((node, start))
+            active = step
+        return found
 
 
 def word_features(word: str) -> list[str]:
@@ -178,6 +268,11 @@ def word_features(word: str) -> list[str]:
     return found
 
 
+def plain(token: str) -> bool:
+    """Whether a token is letters alone, none of them doubled."""
+    return token.isalpha() and not _TWICE.search(token)
+
+
 @dataclass
 class Scorer:
     """Restores tokens and scores words; remembers a bounded number of them."""
@@ -186,19 +281,27 @@ class Scorer:
     weights: dict[str, float] = field(default_factory=dict)
     fitted: tuple[float, float, float] | None = None
     known: dict[str, float] = field(default_factory=dict, repr=False)
-    longest: int | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {"model": self.model, "weights": self.weights, "fitted": self.fitted, "known": {}}
 
-    def restored(self, token: str) -> list[str]:
+    @cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self.model)
+
+    @cached_property
+    def lexicon(self) -> Lexicon:
+        return Lexicon(f.lstrip("=^") for f in self.weights)
+
+    def restored(self, token: str, all_readings: bool = True) -> list[str]:
+        """The token without marks around it, and its readings; unless `all_readings`, those that may hold a known feature."""
         bare = token.strip(MARKS)
         found = [bare] if bare else []
-        if token.isalpha() and not _ODD.search(token):
+        if plain(token):
             return found
         for core in dict.fromkeys((token.strip(OUTER), token.strip(OUTER + "(!?"))):
-            if any(c.isalpha() for c in core) and _ODD.search(core):
-                found += readings(core, self.model)
+            if core and not plain(core) and any(c in _AT for c in core) and (all_readings or self.lexicon.spans(core)):
+                found += self.decoder.readings(core)
         return list(dict.fromkeys(found))
 
     def score(self, token: str) -> float:
@@ -206,10 +309,11 @@ class Scorer:
         got = self.known.get(token)
         if got is None:
             get = self.weights.get
-            got = max((get(f, 0.0) for word in self.restored(token) for f in word_features(word)), default=0.0)
+            got = max((get(f, 0.0) for word in self.restored(token, False) for f in word_features(word)), default=0.0)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[token] = got
+            if len(token) <= LONGEST_REMEMBERED:
+                self.known[token] = got
         return got
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,23 +328,10 @@ class Scorer:
             strongest[full] = np.maximum.reduceat(value, offsets[:-1][full])
             strong = np.diff(np.concatenate(([0], np.cumsum(value > 0)))[offsets]).astype(float)
             for doc, spaced in self._spaced(distinct, codes, offsets):
-                s = max((self.score(spaced[i:j]) for i, j in self._spans(spaced)), default=0.0)
+                s = max((self.score(spaced[i:j]) for i, j in self.lexicon.spans(spaced, every=True)), default=0.0)
                 strongest[doc], strong[doc] = max(strongest[doc], s), strong[doc] + (s > 0)
         return strongest, np.log1p(strong)
 
-    def _spans(self, spaced: str) -> Iterator[tuple[int, int]]:
-        """What may be a word in a run of single characters: as long as the longest known word at every start, twice that where it is written oddly, and all but the run's ends."""
-        n = len(spaced)
-        if self.longest is None:
-            self.longest = max(8, max((len(f) - 1 for f in self.weights if f[0] == "="), default=0))
-        longest = self.longest * (2 if _ODD.search(spaced) or not spaced.isalpha() else 1)
-        for i in range(n - 2):
-            for j in range(i + 3, min(n, i + longest) + 1):
-                yield i, j
-        for i in range(min(3, n)):
-            for j in range(max(i + longest + 1, n - 2), n + 1):
-                yield i, j
-
     def _spaced(self, distinct: list[str], codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str]]:
         """(text, letters put together) of runs of three or more single characters."""
         single = np.fromiter((len(w) == 1 for w in distinct), bool, len(distinct))[codes].astype(np.int8)
@@ -275,7 +366,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Scorer:
     spark = docs.sparkSession
     scorer = Scorer(language_model(trigram_counts(docs)))
-    rows = training_rows(docs, labels, limit)
+    rows = written(training_rows(docs, labels, limit))  # `limit` rows at most
     shared = spark.sparkContext.broadcast(scorer)  # N**3 probabilities
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,34 +376,43 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Scorer:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for token in set((text or "").lower().split()):
-                    if token not in held:
-                        if len(held) > REMEMBERED:
+                    got = held.get(token)
+                    if got is None:
+                        got = [f for word in own.restored(token) for f in word_features(word)]
+                        if len(held) >= REMEMBERED:
                             held.clear()
-                        held[token] = [f for word in own.restored(token) for f in word_features(word)]
-                    found.update(held[token])
+                        if len(token) <= LONGEST_REMEMBERED:
+                            held[token] = got
+                    found.update(got)
                 seen[label].update(found)
                 seen[label][""] += 1  # documents
-                if len(seen[0]) + len(seen[1]) > 2_000_000:
+                if len(seen[0]) + len(seen[1]) > 500_000:
                     yield _table(seen)
                     seen = (Counter(), Counter())
         yield _table(seen)
 
-    counts = rows.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sized = rows.repartition(spark.sparkContext.defaultParallelism)
+    counts = sized.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = written(counts.where("toxic >= 3 OR feature = ''"))
+    shared.destroy()
     total = counts.where("feature = ''").first()
-    if total is None or not total["clean"] or not total["toxic"]:
-        return scorer
-    n0, n1 = total["clean"], total["toxic"]
-    weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    strong = counts.where(F.col("feature") != "").where(F.col("toxic") >= max(3, math.ceil(LEAST_SHARE * n1))).withColumn("w", weight).where(F.col("w") > LEAST_WEIGHT)
-    scorer.weights = {r["feature"]: r["w"] for r in strong.orderBy(F.desc("w"), "feature").limit(FEATURES).collect()}
-    again = spark.sparkContext.broadcast(scorer)
-
-    def evidence(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = again.value.evidence(batch.column(0))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(1)], names=["strongest", "strong", "label"])
-
-    got = rows.mapInArrow(per_slice(evidence), "strongest double, strong double, label int").toArrow()
-    scorer.fitted = _fit(*(got.column(c).to_numpy().astype(float) for c in ("strongest", "strong", "label")))
+    if total is not None and total["clean"] and total["toxic"]:
+        n0, n1 = total["clean"], total["toxic"]
+        weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+        strong = counts.where(F.col("feature") != "").where(F.col("toxic") >= max(3, math.ceil(LEAST_SHARE * n1))).withColumn("w", weight).where(F.col("w") > LEAST_WEIGHT)
+        # 1 / LEAST_SHARE times the features of a toxic text at most
+        scorer.weights = {r["feature"]: r["w"] for r in strong.orderBy(F.desc("w"), "feature").collect()}
+        again = spark.sparkContext.broadcast(scorer)
+
+        def evidence(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = again.value.evidence(batch.column(0))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(1)], names=["strongest", "strong", "label"])
+
+        got = sized.mapInArrow(per_slice(evidence), "strongest double, strong double, label int").toArrow()
+        scorer.fitted = _fit(*(got.column(c).to_numpy().astype(float) for c in ("strongest", "strong", "label")))
+        again.destroy()
+    drop_table(rows)
+    drop_table(counts)
     return scorer
 
 
