@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chosen, per_slice, table, words_of
 
 VOCABULARY = "word_bpe_49k.json"
-#: Upper bound of texts' distinct words that one worker remembers.
-REMEMBERED = 1_000_000
+#: Upper bounds of what one worker remembers: bytes of distinct words, and pairs of neighbours.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 24 << 20, 1_000_000
+#: Longer pieces are merged one by one, with a heap.
+LONG_PIECE = 400
 NEVER = np.int64(1) << 40
 #: In these ranges NFC changes nothing and lower-casing is by single characters.
 PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ɏ]+")
@@ -74,6 +77,7 @@ class Merges:
         self.made = made
         self._spines(left, right, made)
         self.known_keys, self.known_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.rank_of: dict[int, int] = {}
 
     def _product(self, a: str, b: str) -> int:
         return self.vocab[a + b]
@@ -134,7 +138,7 @@ class Merges:
         new = np.setdiff1d(key, self.known_keys)
         if len(new):
             ok = ~self._crosses(new // self.size, new % self.size)
-            if len(self.known_keys) > 4_000_000:
+            if len(self.known_keys) + len(new) > REMEMBERED_PAIRS:
                 self.known_keys, self.known_ok = np.zeros(0, np.int64), np.zeros(0, bool)
                 new = np.unique(key)
                 ok = ~self._crosses(new // self.size, new % self.size)
@@ -157,11 +161,14 @@ class Merges:
         return out
 
     def exact(self, pieces: list[str]) -> list[list[int]]:
-        """Step by step: always the merge of lowest rank, the leftmost first; all pieces side by side, those of like length together."""
+        """Step by step: always the merge of lowest rank, the leftmost first; all short pieces side by side, those of like length together."""
         out: list[list[int]] = [[] for _ in pieces]
         symbols = [[self.ids[c] for c in [*p[:-2], p[-2:]]] for p in pieces]
         sizes = np.fromiter(map(len, symbols), np.int64, len(symbols))
-        order = np.argsort(sizes, kind="stable")
+        for row in np.flatnonzero(sizes > LONG_PIECE):
+            out[row] = self._merged_long(symbols[row])
+        short = np.flatnonzero(sizes <= LONG_PIECE)
+        order = short[np.argsort(sizes[short], kind="stable")]
         at = 0
         while at < len(order):
             wide = int(sizes[order[at]])
@@ -201,6 +208,31 @@ class Merges:
             rank[left, at[left] - 1] = self._rank(grid[left, at[left] - 1], grid[left, at[left]])
         return done
 
+    def _merged_long(self, symbols: list[int]) -> list[int]:
+        """The same for one piece, in n log n steps: a heap of (rank, place) over linked neighbours."""
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        ranks, size, made = self.rank_of, self.size, self.made
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(symbols[i] * size + symbols[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j >= n or ranks.get(symbols[i] * size + symbols[j]) != rank:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = int(made[rank]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(symbols[i] * size + symbols[k])) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := ranks.get(symbols[h] * size + symbols[i])) is not None:
+                heappush(heap, (r, h))
+        return [s for s in symbols if s >= 0]
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each piece (its symbols, then `end`)."""
         out = [self.greedy(p) for p in pieces]
@@ -241,11 +273,13 @@ class WordEncoder:
         self.letters = byte_letters()
         self.merges = Merges(model["vocab"], merges, model["end_of_word_suffix"]) if by == "speculate" else None
         names = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        self.numbers = pa.array([str(i) for i in range(max(names) + 1)], pa.large_string())
         self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)], pa.large_string())
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.held_bytes = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -297,11 +331,13 @@ class WordEncoder:
         packed = words.dictionary_encode()
         distinct = packed.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.at]
-        if new and len(self.at) + len(new) > REMEMBERED:
+        size = sum(map(len, new))
+        if new and self.held_bytes + size > REMEMBERED_BYTES:
             self._forget()
             new = distinct
         if new:
             self._learn(new)
+            self.held_bytes += sum(map(len, new))
         place = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
         index = place[packed.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         sizes, starts = self.size[index], self.start[index]
@@ -388,7 +424,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(path)
         offsets, ids = enc.encode(batch.column(1))
-        numbers = pa.array([str(i) for i in range(len(enc.names))], pa.large_string())
+        numbers = enc.numbers
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(digests(joined(offsets, numbers.take(pa.array(ids))))), pa.array(digests(enc.decode(offsets, ids)))],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
