@@ -1,19 +1,22 @@
 """URL rules by a sort-merge range join, in DataFrame operations alone.
 
 A rule (host, path) fits its host, every subdomain, and every path that starts with its own. In the order
-of canonical keys (host labels from the top domain down, then the path) the urls of one host that a path
-prefix fits are an interval. A url stands in the sweep once for each of its ancestor hosts, so that a rule
-of a parent domain meets the url's path too. The sweep goes through rules' interval starts, urls and
-interval ends in key order; the intervals of one host nest or are disjoint, so each start and end carries
-the stack of rules open behind it, and a url takes the top of the last stack before it. The longest rule
-over the ancestors wins (length of host and path together, then of the host).
-
-Urls are dealt out evenly by a hash of their own, so a hot host or url is no hot task, and each part gets
-the rules' events; equal urls of one page id are counted once. Nothing is broadcast or collected.
+of canonical keys (host labels from the top domain down, then the path; compared as bytes) the urls of one
+host that a path prefix fits are an interval that begins with the rule. Rules and urls are sorted together
+by key over range partitions and swept. The stack of open rules comes with each rule: the nested rules of
+its host whose paths its own path starts with, itself on top. A url takes the stack of the last rule before
+it and pops what does not hold it: whatever rule is open at the url began before that rule and so is in its
+stack. Each partition begins with the last rule of those before it (one row for each partition is carried).
+A url stands in the sweep once for each of its ancestor hosts, so that a rule of a parent domain meets the
+url's path too; the longest rule over the ancestors wins (length of host and path together, then of the host).
+
+Rules stand in the sweep once each. Equal urls of one page id are counted once, and urls are ranged by key
+and page id, so a hot host or url spreads over partitions. Nothing is broadcast or collected.
 
 Defined results: a null url or one without "://" has empty host and path and no rule; an empty host or
 path is legal; repeated rows give repeated rows; without rules every url gets the default verdict; of
-rules with equal host and path the one of the smaller verdict ("allow" before "block") holds.
+rules with equal host and path the one of the smaller verdict ("allow" before "block") holds; rules with a
+null host or path fit nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chosen, partitions, table
+from .common import chosen, partitions, table, written
 
 #: Fixed values of the contract: host, path, verdict.
 RULES = [
@@ -32,10 +35,6 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Below and above every character of a path, and what stands between the labels of a key.
-BEFORE, AFTER, LABEL, PATH = "\x01", "\U0010ffff", "\x02", "\x03"
-
-
 def rules_frame(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
@@ -50,8 +49,8 @@ def path_of(url):
 
 
 def key_of(host, path):
-    """Labels from the top domain down, then the path."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), LABEL), F.lit(PATH), path)
+    """Labels from the top domain down, a byte that no text holds, then the path; as bytes."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ".").cast("binary"), F.lit(bytearray(b"\xfe")), path.cast("binary"))
 
 
 def ancestors(host):
@@ -60,28 +59,16 @@ def ancestors(host):
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def rule_events(rules: DataFrame, parts: int) -> DataFrame:
-    """Starts and ends of the rules' intervals, each with the top of the stack behind it; a copy for each part."""
-    r = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+def rule_events(rules: DataFrame) -> DataFrame:
+    """(key, host, stack) of each rule; stack: (path, rule) of the rules of its host that are open behind it, itself the last."""
+    r = rules.where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     r = r.withColumn("rule", F.struct(F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("text"), "verdict"))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", F.lit(1), i))
-    outer = r.select("host", F.col("path").alias("outer_path"), F.col("rule").alias("outer_rule"))
-    # what lies open below a rule is the longest rule of its host whose path is a proper prefix of its own
-    below = (
-        r.select("host", "path", F.explode(prefixes).alias("outer_path"))
-        .where(F.length("outer_path") < F.length("path"))
-        .join(outer, ["host", "outer_path"])
-        .groupBy("host", "path")
-        .agg(F.max("outer_rule").alias("below"))
-    )
-    r = r.join(below, ["host", "path"], "left")
-    key = key_of(F.col("host"), F.col("path"))
-    ends = F.array(
-        F.struct(key.alias("key"), F.lit(0).alias("kind"), F.col("rule").alias("top")),
-        F.struct(F.concat(key, F.lit(AFTER)).alias("key"), F.lit(2).alias("kind"), F.col("below").alias("top")),
-    )
-    events = r.select(F.explode(ends).alias("e"), F.length("path").alias("depth"), "host").select("e.*", "depth", "host")
-    return events.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sizes = r.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes"))  # as many as a path has characters at most
+    own = r.join(sizes, "host").select("host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    outer = r.select("host", F.col("path").alias("outer"), "rule")
+    nested = own.select("host", "path", F.substring("path", F.lit(1), F.col("n")).alias("outer")).join(outer, ["host", "outer"])
+    stacks = nested.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct(F.length("outer").alias("n"), F.col("outer").alias("path"), "rule"))).alias("stack"))
+    return stacks.select(key_of(F.col("host"), F.col("path")).alias("key"), F.struct("host", "stack").alias("state"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -89,15 +76,22 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column:
     parts = partitions(pages.sparkSession)
     urls = chosen(pages, page_id=id_column, url=url_column).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
     urls = urls.select("page_id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int"))
-    asked = urls.select("part", F.explode(ancestors(F.col("host"))).alias("ancestor"), F.struct("page_id", "url", "copies", "host", "path").alias("page"))
-    asked = asked.select("part", key_of(F.col("ancestor"), F.col("page.path")).alias("key"), F.lit(1).alias("kind"), "page")
-    events = rule_events(rules, parts).select("part", "key", "kind", F.when(F.col("kind") == 0, F.col("depth")).otherwise(-F.col("depth")).alias("depth"), F.struct(F.col("host").alias("of"), "top").alias("state"))
-    swept = events.unionByName(asked, allowMissingColumns=True)
-    # at one key: outer starts first, then urls, then inner ends first
-    order = Window.partitionBy("part").orderBy("key", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = swept.withColumn("state", F.last("state", ignorenulls=True).over(order)).where(F.col("kind") == 1)
-    best = swept.groupBy("part", "page.page_id", "page.url", "page.copies", "page.host", "page.path").agg(F.max("state.top").alias("best"))
+    page = F.struct("page_id", "url", "copies", "host", "path")
+    asked = urls.select(F.explode(ancestors(F.col("host"))).alias("ancestor"), page.alias("page"))
+    asked = asked.select(key_of(F.col("ancestor"), F.col("page.path")).alias("key"), F.lit(1).alias("kind"), F.xxhash64("page.page_id").alias("turn"), "ancestor", "page")
+    events = rule_events(rules).select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("turn"), "state")
+    both = events.unionByName(asked, allowMissingColumns=True)
+    # written, so that a row's partition stays what it is
+    ranged = written(both.repartitionByRange(parts, "key", "kind", "turn").withColumn("part", F.spark_partition_id()))
+    last = ranged.where("kind = 0").groupBy("part").agg(F.max_by("state", "key").alias("state"))
+    border = ranged.select("part").distinct().join(last, "part", "left")  # a row for each partition
+    carried = border.select("part", F.last("state", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("state")).where("state IS NOT NULL")
+    swept = ranged.unionByName(carried.withColumn("kind", F.lit(-1)), allowMissingColumns=True).repartitionByRange(parts, "part")
+    order = Window.partitionBy("part").orderBy(F.col("key").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = swept.withColumn("state", F.last("state", ignorenulls=True).over(order)).where("kind = 1")
+    open_ = F.filter("state.stack", lambda r: F.col("page.path").startswith(r["path"]))
+    top = F.when(F.col("state.host") == F.col("ancestor"), F.element_at(F.transform(open_, lambda r: r["rule"]), -1))
+    best = swept.select("page", F.when(F.size(open_) > 0, top).alias("top")).groupBy("page.page_id", "page.url", "page.copies", "page.host", "page.path").agg(F.max("top").alias("best"))
     result = best.select(
         "page_id", "host", "path", F.col("best.text").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     )
