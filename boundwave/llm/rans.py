@@ -142,7 +142,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, by: str = "library") -> D
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
         return pa.RecordBatch.from_arrays([batch.column(0), packed.cast(pa.binary())], names=["doc_id", "ids"])
 
-    rows = chosen(docs, "doc_id", "text")
+    rows = chosen(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(per_slice(work), "doc_id long, ids binary")
 
 
@@ -164,8 +164,8 @@ def counted(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["id"]] = r["n"]
+    got = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return counts
 
 
