@@ -1,16 +1,19 @@
 """SimHash fingerprints and near duplicates by sharded vantage-point trees.
 
-Every inner node of a tree compares fingerprints with its vantage point on three bits that no other level
-uses, and splits them into near (at most one bit differs) and far. A fingerprint lives in one leaf. To
-find all within radius r it also visits the other side of a node where the distance to the border, summed
-over the levels at which it has crossed so far, is at most r: the levels' bits are disjoint, so these
-distances add up to a lower bound of the full Hamming distance (the triangle bound of each level). For a
-pair whose leaves part at some node only the near one visits the far side, so no pair is met twice.
-
-The tree is as deep as the counts ask for: a node is split while more than `LEAF` fingerprints lie below
-it, judged by exact counts of all of them. Leaves are tested with bounds from one more vantage point on
-all bits. A leaf gives links to the least member of each of its groups, and stars contract these to
-components. Equal fingerprints are one point, counted before any shuffle of documents.
+The upper part of the tree deals fingerprints into shards. Each inner node has a vantage fingerprint v and a
+radius m: what lies within m of v (whole Hamming distance d) goes left, the rest right. Two fingerprints
+within r of each other have distances to v that differ by r at most (the triangle bound), so a pair that
+parts at a node has its left one in m - r < d <= m: only these also visit the right side as guests, and a
+guest goes on to every side that the bound leaves open. So every pair meets in the shard of its right one,
+once. Vantage points and radii are chosen on a sample of the fingerprints (a share of `SHARE`, at most
+`SAMPLE`; it decides the shards' sizes, not the result): of a few candidates the one whose distances spread
+most, and their median.
+
+A shard continues the tree in memory, down to nodes small enough to compare. It gives links to the least
+member of each of its groups, and stars contract these to components. Equal fingerprints are one point,
+counted before any shuffle of documents. At radius 2 some two fifths of random fingerprints lie in a node's
+border on either side, so visits grow as about the half power of the number of shards; clustered
+fingerprints have fewer.
 
 Defined results: null, empty and blank texts have no words and fingerprint zero, which links like any other;
 rows without doc_id get a fingerprint and no component; equal doc_ids are one document for the component.
@@ -28,10 +31,8 @@ from pyspark.sql import functions as F
 from .common import chosen, per_slice, table, written
 from .components import components
 
-WIDTH, LEVELS, LEAF = 3, 21, 1024
-#: Vantage point of all levels; any value gives right results.
-VANTAGE = 0x9E3779B97F4A7C15
-STEP = 12  # levels whose counts are gathered at once: at most 2**STEP counts for each node
+#: Fingerprints of a shard, about; the sample's bounds; candidates for a vantage point; pairs compared at once.
+SHARD, SHARE, SAMPLE, CANDIDATES, AT_ONCE = 1 << 14, 1 / 16, 1 << 18, 8, 1 << 20
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -67,81 +68,84 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         found = [fingerprint(shingle_hashes((t or "").encode(), size)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = chosen(docs, "doc_id", "text")
+    rows = chosen(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(per_slice(work), "doc_id long, fp long")
 
 
-def sides(fp: np.ndarray, level: int) -> np.ndarray:
-    """Differing bits of each fingerprint from the vantage point, on the level's own bits."""
-    bits = np.uint64(((1 << WIDTH) - 1) << (WIDTH * level))
-    return np.bitwise_count((fp ^ np.uint64(VANTAGE)) & bits).astype(np.int64)
-
-
-def codes(fp: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """The near (0) and far (1) turns of each fingerprint, the first in the highest of `levels` bits."""
-    code = np.zeros(len(fp), np.int64)
-    for level in range(levels):
-        code = code * 2 + (sides(fp, level) >= 2)
-    return code
-
-
-def grow(points: DataFrame, leaf: int = LEAF) -> dict[int, int]:
-    """The inner nodes of the tree, as 1-prefixed turns, from exact counts; at most 2**(LEVELS + 1) nodes."""
-    inner: dict[int, int] = {}
-    full = [(1, 0)]  # nodes with more than `leaf` points, and their depth
-    first = True
-    for depth in range(0, LEVELS, STEP):
-        to = min(LEVELS, depth + STEP)
-        wanted = np.array(sorted(n for n, _ in full), np.int64)
-
-        def count(batches: Iterator[pa.RecordBatch], depth=depth, to=to, wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                code = codes(batch.column(0).to_numpy().view(np.uint64), to) + (1 << to)
-                code, n = np.unique(code[np.isin(code >> (to - depth), wanted)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-        got = points.select("fp").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        code, n = got.column("code").to_numpy(), got.column("n").to_numpy()
-        if first and n.sum() <= leaf:
-            return inner
-        first = False
-        open_ = set(wanted.tolist())
-        for level in range(depth, to):
-            nodes, at = np.unique(code >> (to - level), return_inverse=True)
-            below = np.bincount(at, weights=n)
-            heavy = {int(x) for x, k in zip(nodes, below, strict=True) if k > leaf and int(x) in open_}
-            inner.update(dict.fromkeys(heavy, level))
-            open_ = {2 * x for x in heavy} | {2 * x + 1 for x in heavy}
-        nodes, at = np.unique(code, return_inverse=True)
-        full = [(int(x), to) for x, k in zip(nodes, np.bincount(at, weights=n), strict=True) if k > leaf and int(x) in open_]
-        if not full:
-            break
-    return inner
-
-
-def route(fp: np.ndarray, inner: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, index into fp, whether it visits) for the home and every leaf to be visited; `inner` is sorted."""
-    at, node = np.arange(len(fp)), np.ones(len(fp), np.int64)
-    left, guest = np.full(len(fp), radius), np.zeros(len(fp), bool)
-    done = []
-    for level in range(LEVELS + 1):
-        place = np.minimum(np.searchsorted(inner, node), max(0, len(inner) - 1))
-        inside = (inner[place] == node) if len(inner) else np.zeros(len(node), bool)
-        done.append((node[~inside], at[~inside], guest[~inside]))
-        node, at, left, guest = node[inside], at[inside], left[inside], guest[inside]
-        if not len(node):
-            break
-        d = sides(fp[at], level)
-        far = d >= 2
-        cost = np.where(far, d - 1, 2 - d)
-        cross = (cost <= left) & (guest | ~far)
-        node, at, left, guest = (
-            np.concatenate((2 * node + far, 2 * node[cross] + 1 - far[cross])),
-            np.concatenate((at, at[cross])),
-            np.concatenate((left, left[cross] - cost[cross])),
-            np.concatenate((guest, np.ones(int(cross.sum()), bool))),
-        )
-    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+def distance(fp: np.ndarray, vantage: np.uint64) -> np.ndarray:
+    return np.bitwise_count(fp ^ vantage).astype(np.int16)
+
+
+def vantage(fp: np.ndarray) -> tuple[np.uint64, int] | None:
+    """Of a few of the fingerprints the one from which the distances spread most, and a radius with a part on either side; None if they are all one."""
+    best = None
+    for at in np.linspace(0, len(fp) - 1, min(CANDIDATES, len(fp))).astype(int):
+        d = distance(fp, fp[at])
+        far = int(d.max())
+        if far and (best is None or d.std() > best[0]):
+            best = (d.std(), fp[at], min(int(np.median(d)), far - 1))
+    return None if best is None else (best[1], best[2])
+
+
+class Tree:
+    """Inner nodes as arrays: vantage point, radius and the two children; a child below 0 is shard -child - 1."""
+
+    def __init__(self, sample: np.ndarray, leaf: int):
+        self.vantage, self.radius, self.child, self.shards = [], [], [], 0
+        self.root = self._grow(np.unique(sample), leaf)
+        self.vantage = np.array(self.vantage, np.uint64)
+        self.radius = np.array(self.radius, np.int16)
+        self.child = np.array(self.child, np.int64).reshape(-1, 2)
+
+    def _grow(self, fp: np.ndarray, leaf: int) -> int:
+        top: list[int] = [0]
+        todo = [(fp, top, 0)]
+        while todo:
+            own, holder, side = todo.pop()
+            found = vantage(own) if len(own) > leaf else None
+            if found is None:
+                self.shards += 1
+                holder[side] = -self.shards
+                continue
+            holder[side] = len(self.vantage)
+            children = [0, 0]
+            self.vantage.append(found[0])
+            self.radius.append(found[1])
+            self.child.append(children)
+            near = distance(own, found[0]) <= found[1]
+            todo += [(own[near], children, 0), (own[~near], children, 1)]
+        return top[0]
+
+    def route(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard, index into fp, whether it is a guest) of every visit."""
+        node, at, guest = np.full(len(fp), self.root), np.arange(len(fp)), np.zeros(len(fp), bool)
+        done = []
+        while True:
+            leaf = node < 0
+            done.append((-node[leaf] - 1, at[leaf], guest[leaf]))
+            node, at, guest = node[~leaf], at[~leaf], guest[~leaf]
+            if not len(node):
+                return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+            d = np.bitwise_count(fp[at] ^ self.vantage[node]).astype(np.int16)
+            m = self.radius[node]
+            left = np.where(guest, d <= m + radius, d <= m)
+            right = d > m - radius
+            own = ~guest & (d > m)  # residents of the right side
+            node, at, guest = (
+                np.concatenate((self.child[node[left], 0], self.child[node[right], 1])),
+                np.concatenate((at[left], at[right])),
+                np.concatenate((guest[left], ~own[right])),
+            )
+
+
+def shards_of(points: DataFrame, shard: int = SHARD) -> Tree:
+    """The tree over points (fp): drawn from a bounded sample, which is chosen by a hash."""
+    n = points.count()
+    if n <= shard:
+        return Tree(np.zeros(0, np.uint64), shard)
+    share = min(SHARE, SAMPLE / n)
+    few = points.where(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
+    return Tree(few.column(0).to_numpy().view(np.uint64), max(1, int(share * shard)))
 
 
 def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,51 +161,58 @@ def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def leaf_links(fp: np.ndarray, guest: np.ndarray, radius: int) -> np.ndarray:
-    """For each point of a leaf (residents and guests) the least index that it is linked with, by way of others."""
+def close_pairs(fp: np.ndarray, home: np.ndarray, guest: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (a, b) of all pairs within `radius` of two residents, or of a guest and a resident; a tree in memory."""
+    todo = [(home, guest)]
+    while todo:
+        own, others = todo.pop()
+        if not len(own):
+            continue
+        found = vantage(fp[own]) if len(own) > 64 and len(own) * (len(own) + len(others)) > 1 << 15 else None
+        if found is None:
+            every = np.concatenate((own, others))
+            step = max(1, AT_ONCE // len(own))
+            for k in range(0, len(every), step):
+                part = every[k : k + step]
+                i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[own][None, :]) <= radius)
+                yield part[i], own[j]
+            continue
+        v, m = found
+        d, e = distance(fp[own], v), distance(fp[others], v)
+        todo.append((own[d <= m], others[e <= m + radius]))
+        todo.append((own[d > m], np.concatenate((others[e > m - radius], own[(d <= m) & (d > m - radius)]))))
+
+
+def shard_links(fp: np.ndarray, guest: np.ndarray, radius: int) -> np.ndarray:
+    """For each point of a shard (residents and guests) the least index that it is linked with, by way of others."""
     label = np.arange(len(fp))
-    home = np.flatnonzero(~guest)
-    reach = np.bitwise_count(fp ^ np.uint64(VANTAGE)).astype(np.int64)  # bounds by distance from a vantage point
-    home = home[np.argsort(reach[home], kind="stable")]
-    own = reach[home]
-    for side in (home, np.flatnonzero(guest)):
-        for d in np.unique(reach[side]):
-            asks = side[reach[side] == d]
-            lo, hi = np.searchsorted(own, d - radius), np.searchsorted(own, d + radius, side="right")
-            if lo == hi:
-                continue
-            step = max(1, (1 << 22) // (hi - lo))
-            for k in range(0, len(asks), step):
-                part = asks[k : k + step]
-                close = np.bitwise_count(fp[part][:, None] ^ fp[home[lo:hi]][None, :]) <= radius
-                i, j = np.nonzero(close)
-                a, b = part[i], home[lo:hi][j]
-                apart = label[a] != label[b]
-                label = settle(label, a[apart], b[apart])
+    for a, b in close_pairs(fp, np.flatnonzero(~guest), np.flatnonzero(guest), radius):
+        apart = label[a] != label[b]
+        label = settle(label, a[apart], b[apart])
     return label
 
 
-def links(points: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
     """Edges (u, v) that connect the nodes of `points` (fp long, distinct; node long) as all pairs within `radius` do."""
-    inner = np.array(sorted(grow(points, leaf)), np.int64)
+    tree = points.sparkSession.sparkContext.broadcast(shards_of(points, shard))  # SAMPLE nodes at most
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             for k in range(0, len(fp), 1 << 14):
-                to, at, guest = route(fp[k : k + (1 << 14)], inner, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[k + at].view(np.int64)), pa.array(node[k + at]), pa.array(guest)], names=["leaf", "fp", "node", "guest"])
+                to, at, guest = tree.value.route(fp[k : k + (1 << 14)], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[k + at].view(np.int64)), pa.array(node[k + at]), pa.array(guest)], names=["shard", "fp", "node", "guest"])
 
     def search(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         order = np.argsort(node, kind="stable")  # so the least index is the least node
         fp, guest, node = group.column("fp").to_numpy().view(np.uint64)[order], group.column("guest").to_numpy()[order], node[order]
-        label = leaf_links(fp, guest, radius)
+        label = shard_links(fp, guest, radius)
         own = label != np.arange(len(label))
         return pa.table({"u": node[own], "v": node[label[own]]})
 
-    sent = points.select("fp", "node").mapInArrow(send, "leaf long, fp long, node long, guest boolean")
-    return sent.groupBy("leaf").applyInArrow(search, "u long, v long")
+    sent = points.select("fp", "node").mapInArrow(send, "shard long, fp long, node long, guest boolean")
+    return sent.groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
