@@ -95,26 +95,42 @@ def test_tree_finds_every_pair(spread):
     centre = r.integers(0, 2**63, 4)
     fps = {int(centre[i % 4]) ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, min(spread, 8) + 1), replace=False)) for i in range(300)}
     fp = np.array(sorted(fps), np.uint64)
-    inner, stack = [], [(1, 0, np.arange(len(fp)))]
-    while stack:
-        node, level, own = stack.pop()
-        if len(own) > 8 and level < simhash.LEVELS:
-            inner.append(node)
-            far = simhash.sides(fp[own], level) >= 2
-            stack += [(2 * node, level + 1, own[~far]), (2 * node + 1, level + 1, own[far])]
-    leaf, at, guest = simhash.route(fp, np.array(sorted(inner), np.int64), 2)
+    tree = simhash.Tree(fp[::3], 4)
+    assert tree.shards > 8
+    leaf, at, guest = tree.route(fp, 2)
     assert sorted(at[~guest].tolist()) == list(range(len(fp)))
     root = list(range(len(fp)))
     for one in np.unique(leaf):
         own = leaf == one
         order = np.argsort(at[own], kind="stable")
         ids = at[own][order]
-        for i, k in enumerate(simhash.leaf_links(fp[ids], guest[own][order], 2)):
+        for i, k in enumerate(simhash.shard_links(fp[ids], guest[own][order], 2)):
             x, y = root[ids[i]], root[ids[k]]
             root = [min(x, y) if v in (x, y) else v for v in root]
     assert root == brute_components([int(v) for v in fp], 2)
 
 
+def test_pairs_depend_on_the_tree():
+    r = np.random.default_rng(1)
+    fp = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    fp = np.unique(np.concatenate((fp, fp[:400] ^ np.uint64(9))))
+    every = np.arange(len(fp))
+    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2
+    want = {(min(a, b), max(a, b)) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(close))) if a != b}
+    got = set()
+    for a, b in simhash.close_pairs(fp, every, every[:0], 2):
+        got |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()) if x != y}
+    assert got == want and len(want) >= 400
+    tree = simhash.Tree(fp[::4], 20)
+    to, at, guest = tree.route(fp, 2)
+    home = np.empty(len(fp), np.int64)
+    home[at[~guest]] = to[~guest]
+    apart = [(a, b) for a, b in want if home[a] != home[b]]
+    assert apart  # pairs that part: without guests they would be lost
+    meet = {(int(i), int(s)) for s, i in zip(to, at)}
+    assert all((a, home[b]) in meet or (b, home[a]) in meet for a, b in apart)
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
@@ -155,6 +171,21 @@ def test_least_runs_meet_in_shared_windows():
     assert not len(phrases.least_runs(a[:49], np.array([0, 49]))[0])
 
 
+def test_phrases_come_from_the_automaton(monkeypatch):
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in r.integers(0, 5000, 400)]
+    shared = words[100:170]
+    docs = pa.table({"doc_id": [1, 2, 3], "text": [" ".join(words), " ".join(words[200:260] + shared), " ".join(shared)], "text_key": [11, 12, 13]})
+    hashes = common.word_hashes(pa.array(words))
+    at, runs = phrases.least_runs(hashes, np.array([0, len(words)]))
+    sent = pa.table({"run": runs.view(np.int64), "doc_id": np.full(len(at), 1), "text_key": np.full(len(at), 11), "at": at.astype(np.int32)})
+    found = phrases.shard_windows(docs, sent)
+    places = set(zip(found.column("doc_id").to_pylist(), found.column("at").to_pylist()))
+    assert {(3, i) for i in range(21)} <= places and {(2, 60 + i) for i in range(21)} <= places
+    monkeypatch.setattr(phrases, "automata", lambda *_: iter(()))
+    assert phrases.shard_windows(docs, sent).num_rows == 0
+
+
 def test_quality_counts():
     text = "w1 w2 w3 w4 w5 w6 w7 w8 x w1 w2 w3 w4 w5 w6 w7 w8 #é\nsame\n\nsame\n \n "
     c = quality.base_counts(pa.array([text, None, "a " * 9]))
@@ -202,7 +233,66 @@ def test_restoring_ends_and_runs():
         assert scorer.score(token) == 5.0, token
     strongest, _ = scorer.evidence(pa.array(["x y z w a s s q r t u", "b c d e i d 1 o t f g h j", "b c d e f g"]))
     assert strongest.tolist() == [5.0, 5.0, 0.0]
-    assert toxicity.readings("*" * 60 + "idiot", scorer.model)
+    assert scorer.decoder.readings("*" * 60 + "idiot")[0].endswith("idiot")
+
+
+def brute_readings(token, model):
+    best, steps = {}, toxicity.lattice(token)
+
+    def go(at, text, cost):
+        before = [0, 0, *text][-2:]
+        if at == len(steps):
+            if text:
+                best[text] = min(best.get(text, 1e9), cost + model[before[0], before[1], 0])
+            return
+        choice, drop = steps[at]
+        if drop is not None:
+            go(at + 1, text, cost + drop)
+        for c, price in choice:
+            go(at + 1, (*text, c), cost + price + model[before[0], before[1], c])
+            if text and c == text[-1]:
+                go(at + 1, text, cost + price + toxicity.COST_AGAIN)
+
+    go(0, (), 0.0)
+    return sorted((cost, "".join(toxicity.LETTERS[c - 1] for c in text)) for text, cost in best.items())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abdeiort013457@$!*#.-%é", min_size=1, max_size=6).filter(lambda t: sum(c in toxicity.MASKS for c in t) < 3))
+def test_readings_are_the_best_of_all(token):
+    model = np.random.default_rng(7).gamma(2.0, 1.5, (toxicity.N,) * 3)
+    want = brute_readings(token, model)
+    got = toxicity.Decoder(model).readings(token)
+    assert len(got) == min(toxicity.READINGS, len(want)) and len(set(got)) == len(got)
+    price = {text: cost for cost, text in want}
+    assert [price[t] for t in got] == pytest.approx([cost for cost, _ in want[: len(got)]])
+    lexicon = toxicity.Lexicon([want[-1][1]] if want else [])
+    assert not want or lexicon.spans(token)
+
+
+def test_marked_words_are_found_by_the_decoder_alone():
+    scorer = toxicity.Scorer(np.ones((toxicity.N,) * 3), {"=idiot": 5.0})
+    assert scorer.score("1d!0t") == 5.0
+    scorer = toxicity.Scorer(np.ones((toxicity.N,) * 3), {"=idiot": 5.0})
+    scorer.decoder.readings = lambda token: []
+    assert scorer.score("1d!0t") == 0.0
+
+
+@pytest.mark.parametrize("token", ["ab1" * 340_000, "a" * 1_000_000, "x.y" * 340_000])
+def test_one_long_token(encoders, token):
+    model = np.random.default_rng(7).gamma(2.0, 1.5, (toxicity.N,) * 3)
+    scorer = toxicity.Scorer(model, {"=idiot": 5.0, "=moron": 4.0})
+    assert scorer.evidence(pa.array([token]))[0].tolist() == [0.0]
+    check_encoding(encoders[0], [token[:200_000]])
+    assert len(secrets.scan_text(token, "")) <= 1 and len(secrets.scan_text("a_" * 500_000 + "password=abcdef12", "")) == 1
+    assert quality.base_counts(pa.array([token]))["n_words"].tolist() == [1]
+    assert decontaminate.Items([(1, "five words are needed here")]).scan(pa.RecordBatch.from_pydict({"doc_id": [1], "text": [token]})).num_rows == 0
+
+
+def test_long_words_merge_exactly(encoders):
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("etaoinshr"), n)) for n in (401, 3000, 20_000)]
+    check_encoding(encoders[0], words)
 
 
 def test_secret_forest_on_unseen_findings():

@@ -138,7 +138,7 @@ def test_links_with_deep_trees(spark):
     fps = sorted({int(base[i % 6]) ^ sum(1 << int(b) for b in r.choice(62, r.integers(0, 5), replace=False)) for i in range(400)})
     points = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
     root = grouped(range(len(fps)), [(i, j) for i, f in enumerate(fps) for j in range(i) if bin(f ^ fps[j]).count("1") <= 2])
-    got = {x["node"]: x["root"] for x in components.components(simhash.links(points, 2, leaf=8)).collect()}
+    got = {x["node"]: x["root"] for x in components.components(simhash.links(points, 2, shard=20)).collect()}
     assert {i: got.get(i, i) for i in range(len(fps))} == root
 
 
@@ -311,7 +311,7 @@ def test_secrets(spark, none):
 
 URLS = [
     "http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "https://x.org", "https://x.org/?", "no scheme", None, "://org/a", "http://a.b.com/fr/1#t", "http://com/de/", "http://com:80/de/",
-    "http://.org/a", "http://org./a", "http://a..org/", "http://example.org/en/2", "http://notexample.org/es/", "http://a.net/fr/", "x://y.com/de/z://q.org/", "http://e.com/DE/", "", "http://example.org/en/1\n2",
+    "http://.org/a", "http://org./a", "http://a..org/", "http://example.org/en/2", "http://notexample.org/es/", "http://a.net/fr/", "x://y.com/de/z://q.org/", "http://e.com/DE/", "", "http://example.org/en/1\n2", "http://example.org/en/1\U0010ffffx", "s://a\x02org/x", "s://\U0010ffff.org/es/", "s://example.org", "s://org.example/es/",
 ]
 
 
