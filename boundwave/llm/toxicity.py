@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import chosen, drop_table, flat, place, per_slice, table, words_of, written
 
-SAMPLE, REMEMBERED, COUNTED_BYTES = 12_000, 100_000, 1 << 20
+SAMPLE, REMEMBERED, COUNTED_BYTES = 12_000, 250_000, 1 << 20
 FOLDS = 5
 #: A feature counts if it is in this share of the toxic training texts, and has these log-odds, at least.
 LEAST_SHARE, LEAST_WEIGHT = 0.01, 3.5
@@ -54,8 +55,8 @@ OUTER = ".,;:\"')[]{}«»“”„…–—¿"
 #: Costs (nats) of what the channel does to a letter.
 COST_ALIKE, COST_MASK, COST_MARK, COST_AGAIN, READINGS = 1.0, 4.0, 1.5, 0.5, 4
 
-#: Masks in a row that may each hide a letter; tokens up to this length are remembered; first, inexact search.
-MASK_RUN, LONGEST_REMEMBERED, BEAM = 4, 200, 12
+#: Masks in a row that may each hide a letter; tokens up to this length are remembered; readings of a small lattice.
+MASK_RUN, LONGEST_REMEMBERED, FEW = 4, 200, 16
 
 _CODE = np.zeros(0x100, np.uint8)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, N)
@@ -124,117 +125,205 @@ def lattice(token: str) -> list[tuple[list[tuple[int, float]], float | None]]:
 
 
 class Decoder:
-    """List-Viterbi search under a character model; readings share their beginnings as nodes of a tree."""
+    """List-Viterbi search under a character model, best first; readings share their beginnings as nodes of a tree."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.least = model.min((0, 1)).tolist()
-        self.prices: dict[int, list[float]] = {}
+        self.pair = model.min(0)  # least price of a letter behind a letter
+        self.behind = np.ascontiguousarray(self.pair.T)
+        self.rows: dict[int, list[float]] = {}
 
     def row(self, a: int, b: int) -> list[float]:
-        got = self.prices.get(a * N + b)
+        got = self.rows.get(a * N + b)
         if got is None:
-            got = self.prices[a * N + b] = self.model[a, b].tolist()
+            got = self.rows[a * N + b] = self.model[a, b].tolist()
         return got
 
+    def bounds(self, steps) -> list[list[float]]:
+        """For each place and last letter a lower bound of what is still to be paid."""
+        ahead = self.pair[:, 0]
+        found = [ahead.tolist()]
+        for choice, drop in reversed(steps):
+            now = np.full(N, math.inf) if drop is None else ahead + drop
+            if len(choice) > 3:  # a mask: all letters of one price, and maybe look-alikes
+                codes, prices = (np.array(v) for v in zip(*choice, strict=True))
+                now = np.minimum(now, (self.pair[:, codes] + (prices + ahead[codes])).min(1))
+                now[codes] = np.minimum(now[codes], prices + COST_AGAIN + ahead[codes])
+            else:
+                for c, price in choice:
+                    again = min(now[c], price + COST_AGAIN + ahead[c])
+                    now = np.minimum(now, self.behind[c] + (price + ahead[c]))
+                    now[c] = min(now[c], again)
+            ahead = now
+            found.append(ahead.tolist())
+        return found[::-1]
+
     def readings(self, token: str) -> list[str]:
         """The READINGS best readings of a token, the best first.
 
-        A beam gives readings first. If it had to cut, the exact search follows only what costs no more than
-        these with the least that the characters left can cost, and keeps the best of every state."""
+        A lattice of few paths is walked whole. In others prefixes are followed in the order of their cost and the bound of the rest, at most READINGS for each place
+        and state of two letters: no more of them can be in the READINGS best."""
         steps = lattice(token)
-        rest = [0.0] * (len(steps) + 1)
-        for at in range(len(steps) - 1, -1, -1):
-            choice, drop = steps[at]
-            rest[at] = rest[at + 1] + min([price + min(COST_AGAIN, self.least[c]) for c, price in choice] + ([drop] if drop is not None else []))
-        found, cut = self._search(steps, rest, math.inf, BEAM)
-        if cut:
-            limit = found[READINGS - 1][0] + 1e-6 if len(found) >= READINGS else math.inf
-            found, _ = self._search(steps, rest, limit, None)
-        return [text for _, text in found[:READINGS]]
-
-    def _search(self, steps, rest: list[float], limit: float, beam: int | None) -> tuple[list[tuple[float, str]], bool]:
-        """((cost, reading) in order, whether a beam left something out)."""
+        few = self._few(steps) if len(steps) <= LONGEST_REMEMBERED else None
+        if few is not None:
+            return few
+        ahead, end = self.bounds(steps), len(steps)
         parent, last, child = [0], [0], {}
-        held, cut = {0: 0.0}, False
-        for at, (choice, drop) in enumerate(steps):
-            step: dict[int, float] = {}
-            most = limit - rest[at + 1]
-            for node, cost in held.items():
-                b = last[node]
-                if drop is not None and cost + drop <= most and cost + drop < step.get(node, math.inf):
-                    step[node] = cost + drop
-                if not choice:
-                    continue
-                prices = self.row(last[parent[node]], b)
+        # (bound, place, node, cost, siblings that cost more, the next of them): siblings wait until their better one was taken
+        queue: list[tuple] = [(ahead[0][0], 0, 0, 0.0, (), 0)]
+        seen: set[tuple[int, int]] = set()
+        taken: dict[tuple[int, int, int], int] = {}
+        found: list[str] = []
+        while queue:
+            _, at, node, cost, siblings, k = heappop(queue)
+            if k < len(siblings):
+                bound, to, new = siblings[k]
+                heappush(queue, (bound, at, self._child(to, parent, last, child), new, siblings, k + 1))
+            if at > end:
+                letters = []
+                while node:
+                    letters.append(LETTERS[last[node] - 1])
+                    node = parent[node]
+                found.append("".join(reversed(letters)))
+                if len(found) == READINGS:
+                    break
+                continue
+            if (at, node) in seen:
+                continue
+            seen.add((at, node))
+            a, b = last[parent[node]], last[node]
+            state = (at, a, b)
+            n = taken.get(state, 0)
+            if n == READINGS:
+                continue
+            taken[state] = n + 1
+            if at == end:
+                if node:
+                    total = cost + self.row(a, b)[0]
+                    heappush(queue, (total, end + 1, node, total, (), 0))
+                continue
+            choice, drop = steps[at]
+            rest = ahead[at + 1]
+            if drop is not None:
+                heappush(queue, (cost + drop + rest[b], at + 1, node, cost + drop, (), 0))
+            if choice:
+                prices = self.row(a, b)
+                ways = tuple(sorted([(new + rest[c], node * N + c, new) for c, price in choice for new in (cost + price + prices[c],)]))
+                bound, to, new = ways[0]
+                heappush(queue, (bound, at + 1, self._child(to, parent, last, child), new, ways, 1))
+                for c, price in choice:
+                    if c == b:  # written again
+                        new = cost + price + COST_AGAIN
+                        heappush(queue, (new + rest[b], at + 1, node, new, (), 0))
+        return found
+
+    def _few(self, steps) -> list[str] | None:
+        """The same for a lattice that never has more than FEW readings so far; None for any other."""
+        held = {"": (0.0, 0, 0)}
+        for choice, drop in steps:
+            if len(held) * len(choice) > 2 * FEW:
+                return None
+            step: dict[str, tuple[float, int, int]] = {}
+            for text, (cost, a, b) in held.items():
+                if drop is not None:
+                    old = step.get(text)
+                    if old is None or cost + drop < old[0]:
+                        step[text] = (cost + drop, a, b)
                 for c, price in choice:
-                    new = cost + price + prices[c]
-                    if new <= most:
-                        key = node * N + c
-                        to = child.get(key)
-                        if to is None:
-                            to = child[key] = len(parent)
-                            parent.append(node)
-                            last.append(c)
-                        if new < step.get(to, math.inf):
-                            step[to] = new
+                    longer, new = text + LETTERS[c - 1], cost + price + self.row(a, b)[c]
+                    old = step.get(longer)
+                    if old is None or new < old[0]:
+                        step[longer] = (new, b, c)
                     if c == b:  # written again
                         new = cost + price + COST_AGAIN
-                        if new <= most and new < step.get(node, math.inf):
-                            step[node] = new
-            if beam is not None:
-                if len(step) > beam:
-                    step, cut = dict(sorted(step.items(), key=lambda x: x[1])[:beam]), True
-            elif len(step) > READINGS:
-                taken: dict[int, int] = {}
-                kept = {}
-                for node, cost in sorted(step.items(), key=lambda x: x[1]):
-                    state = last[parent[node]] * N + last[node]
-                    n = taken.get(state, 0)
-                    if n < READINGS:
-                        taken[state] = n + 1
-                        kept[node] = cost
-                step = kept
+                        old = step.get(text)
+                        if old is None or new < old[0]:
+                            step[text] = (new, a, b)
+            if len(step) > FEW:
+                return None
             held = step
-        out = []
-        for node, cost in held.items():
-            if node:
-                out.append((cost + self.row(last[parent[node]], last[node])[0], node))
-        out.sort()
-        texts = []
-        for cost, node in out[: 2 * READINGS]:
-            letters = []
-            while node:
-                letters.append(LETTERS[last[node] - 1])
-                node = parent[node]
-            texts.append((cost, "".join(reversed(letters))))
-        return sorted(texts), cut
+        return [text for _, text in sorted((cost + self.row(a, b)[0], text) for text, (cost, a, b) in held.items() if text)][:READINGS]
+
+    @staticmethod
+    def _child(key: int, parent: list[int], last: list[int], child: dict[int, int]) -> int:
+        """The node of parent * N + letter."""
+        to = child.get(key)
+        if to is None:
+            to = child[key] = len(parent)
+            parent.append(key // N)
+            last.append(key % N)
+        return to
 
 
 class Lexicon:
-    """Known strings as a tree, and which of them the paths of a lattice may spell."""
-
-    def __init__(self, strings):
-        self.kids: list[dict[int, int]] = [{}]
-        self.last, self.ends = [0], [False]
-        for s in sorted(set(strings)):
-            if s and all(c in _AT for c in s):
-                node = 0
-                for c in s:
-                    code = _AT[c]
-                    to = self.kids[node].get(code)
-                    if to is None:
-                        to = self.kids[node][code] = len(self.kids)
-                        self.kids.append({})
-                        self.last.append(code)
-                        self.ends.append(False)
-                    node = to
-                self.ends[node] = True
+    """Known features as trees of letters (from node 0 all, from 1 beginnings and whole words, from 2 inner runs), and which tokens have a lattice that may spell one."""
+
+    def __init__(self, features):
+        self.kids: list[dict[int, int]] = [{}, {}, {}]
+        self.last, self.ends = [0, 0, 0], [False, False, False]
+        self.others = set()  # features that no lattice spells
+        for f in sorted(set(features)):
+            bare = f.lstrip("=^")
+            if not all(c in _AT for c in bare):
+                self.others.add(f)
+                continue
+            self._add(0, bare)
+            self._add(1 if f != bare else 2, bare)
+
+    def _add(self, node: int, letters: str) -> None:
+        for c in letters:
+            code = _AT[c]
+            to = self.kids[node].get(code)
+            if to is None:
+                to = self.kids[node][code] = len(self.kids)
+                self.kids.append({})
+                self.last.append(code)
+                self.ends.append(False)
+            node = to
+        self.ends[node] = True
+
+    def _pattern(self, own, filler, before: str) -> re.Pattern:
+        """The trees as a pattern: `own(code)` matches a letter, `filler(code)` what may follow it inside a word, `before` what may stand before a word."""
+
+        def below(node: int) -> str:
+            if self.ends[node] or not self.kids[node]:
+                return ""
+            parts = [own(code) + ("" if self.ends[to] else filler(code)) + below(to) for code, to in sorted(self.kids[node].items())]
+            return "(?:" + "|".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+        parts = [p for p in (below(2), f"^{before}{below(1)}" if self.kids[1] else "") if p]
+        return re.compile("|".join(parts) or r"(?!)", re.M)
+
+    @cached_property
+    def literal(self) -> re.Pattern:
+        return self._pattern(lambda code: LETTERS[code - 1], lambda code: "", "")
+
+    @cached_property
+    def disguised(self) -> re.Pattern:
+        """Matches every token that may spell a feature, and few others: marks and repetitions may stand behind each letter."""
+        makers = {code: "".join(sorted(k for k in {*ALIKE, *LETTERS} if any(c == code for c, _ in options(k)[0]))) for code in range(1, N)}
+        firm = re.escape(LETTERS + "".join(c for c in ALIKE if c.isalnum()))  # never dropped
+        own = lambda code: "[" + re.escape(makers[code] + MASKS) + "]"
+        return self._pattern(own, lambda code: f"(?:{own(code)}|[^{firm}\\n])*", f"[^{firm}\\n]*")
+
+    def candidates(self, tokens: list[str]) -> list[bool]:
+        """Which tokens may score; all that may are among them. Long ones are left to `spans`, whose work is linear."""
+        out = [len(t) > LONGEST_REMEMBERED or bool(self.others) for t in tokens]
+        for kind, pattern in ((True, self.literal), (False, self.disguised)):
+            own = [i for i, t in enumerate(tokens) if not out[i] and plain(t) is kind]
+            line = "\n".join([tokens[i] for i in own])
+            ends = np.cumsum([len(tokens[i]) + 1 for i in own])
+            at = 0
+            while (m := pattern.search(line, at)) is not None:
+                k = int(np.searchsorted(ends, m.start(), side="right"))
+                out[own[k]] = True
+                at = int(ends[k])
+        return out
 
     def spans(self, token: str, every: bool = False) -> list[tuple[int, int]]:
-        """(start, stop) of stretches that may spell a string; the first alone unless `every`.
+        """(start, stop) of stretches that may spell a feature; the first alone unless `every`.
 
-        With `every` a stretch starts at a character that is no mask, and each start is followed by itself."""
+        With `every` a stretch starts at any character that is no mask, and each start is followed by itself."""
         kids, last, ends, found = self.kids, self.last, self.ends, []
         active: set[tuple[int, int]] = set()
         for at, (choice, drop) in enumerate(lattice(token)):
@@ -291,30 +380,34 @@ class Scorer:
 
     @cached_property
     def lexicon(self) -> Lexicon:
-        return Lexicon(f.lstrip("=^") for f in self.weights)
+        return Lexicon(list(self.weights))
 
     def restored(self, token: str, all_readings: bool = True) -> list[str]:
-        """The token without marks around it, and its readings; unless `all_readings`, those that may hold a known feature."""
+        """The token without marks around it, and its readings; unless `all_readings`, a long one without known features has none."""
         bare = token.strip(MARKS)
         found = [bare] if bare else []
         if plain(token):
             return found
         for core in dict.fromkeys((token.strip(OUTER), token.strip(OUTER + "(!?"))):
-            if core and not plain(core) and any(c in _AT for c in core) and (all_readings or self.lexicon.spans(core)):
+            if core and not plain(core) and any(c in _AT for c in core) and (all_readings or len(core) <= LONGEST_REMEMBERED or self.lexicon.spans(core)):
                 found += self.decoder.readings(core)
         return list(dict.fromkeys(found))
 
     def score(self, token: str) -> float:
-        """The strongest feature of the token's readings; 0 without any."""
-        got = self.known.get(token)
-        if got is None:
-            get = self.weights.get
-            got = max((get(f, 0.0) for word in self.restored(token, False) for f in word_features(word)), default=0.0)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(token) <= LONGEST_REMEMBERED:
-                self.known[token] = got
-        return got
+        return self.scores([token])[0]
+
+    def scores(self, tokens: list[str]) -> list[float]:
+        """The strongest feature of each token's readings; 0 without any."""
+        known, get = self.known, self.weights.get
+        new = [t for t in tokens if t not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = tokens
+        own: dict[str, float] = {}
+        for token, may in zip(new, self.lexicon.candidates(new), strict=True):
+            got = max((get(f, 0.0) for word in self.restored(token, False) for f in word_features(word)), default=0.0) if may else 0.0
+            (known if len(token) <= LONGEST_REMEMBERED else own)[token] = got
+        return [own[t] if t in own else known[t] for t in tokens]
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(strongest word, log of 1 + strong words) of each text."""
@@ -323,7 +416,7 @@ class Scorer:
         if len(words):
             packed = words.dictionary_encode()
             distinct, codes = packed.dictionary.to_pylist(), packed.indices.to_numpy()
-            value = np.fromiter(map(self.score, distinct), float, len(distinct))[codes]
+            value = np.array(self.scores(distinct), float)[codes]
             full = np.diff(offsets) > 0
             strongest[full] = np.maximum.reduceat(value, offsets[:-1][full])
             strong = np.diff(np.concatenate(([0], np.cumsum(value > 0)))[offsets]).astype(float)
