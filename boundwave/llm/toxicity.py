@@ -109,6 +109,8 @@ def options(char: str) -> tuple[list[tuple[int, float]], float | None]:
 
 
 _OPTIONS: dict[str, tuple[list[tuple[int, float]], float | None]] = {}
+#: Letters, marks that are no look-alikes, and masks at the end.
+_MASKED_END = re.compile("([%s]+)[^\\w\\s%s]*([%s]{1,%d})" % (LETTERS, re.escape("".join(ALIKE) + MASKS), re.escape(MASKS), MASK_RUN))
 _LONG_MASK = re.compile("[" + re.escape(MASKS) + "]{%d,}" % (MASK_RUN + 1))
 
 
@@ -161,8 +163,13 @@ class Decoder:
     def readings(self, token: str) -> list[str]:
         """The READINGS best readings of a token, the best first.
 
-        A lattice of few paths is walked whole. In others prefixes are followed in the order of their cost and the bound of the rest, at most READINGS for each place
+        A word with masks behind it has its own formula (`_masked_end`), a lattice of few paths is walked whole. In
+        others prefixes are followed in the order of their cost and the bound of the rest, at most READINGS for each place
         and state of two letters: no more of them can be in the READINGS best."""
+        m = _MASKED_END.fullmatch(token)
+        ended = self._masked_end(m[1], len(m[2])) if m else None
+        if ended is not None:
+            return ended
         steps = lattice(token)
         few = self._few(steps) if len(steps) <= LONGEST_REMEMBERED else None
         if few is not None:
@@ -217,8 +224,43 @@ class Decoder:
                         heappush(queue, (new + rest[b], at + 1, node, new, (), 0))
         return found
 
+    @cached_property
+    def _tails(self) -> tuple[list, list, list]:
+        """By the last two letters: the best letters that may end the word, their prices with the end, and the least price of two letters and the end."""
+        letters = slice(1, 27)
+        one = self.model[:, :, letters] + self.model[:, letters, 0][None]
+        best = np.argsort(one, axis=2, kind="stable")[:, :, :READINGS]
+        two = (self.model[:, letters, letters] + self.model[letters, letters, 0][None]).min(2)
+        return (best + 1).tolist(), np.take_along_axis(one, best, 2).tolist(), (self.model[:, :, letters] + two[None]).min(2).tolist()
+
+    def _masked_end(self, word: str, masks: int) -> list[str] | None:
+        """The word's readings alone and with one letter for one of the masks, if none with more letters can be among the best; else None."""
+        held = self._walk(lattice(word))
+        if held is None:
+            return None
+        letters, prices, two = self._tails
+        alone, one = COST_MARK * masks, COST_MASK + COST_MARK * (masks - 1)
+        more = [2 * COST_MASK + COST_MARK * (masks - 2), 3 * COST_MASK + COST_MARK * (masks - 3)]
+        found, least = [], math.inf
+        for text, (cost, a, b) in held.items():
+            found.append((cost + alone + self.row(a, b)[0], text))
+            found += [(cost + one + p, text + LETTERS[c - 1]) for c, p in zip(letters[a][b], prices[a][b], strict=True)]
+            if masks > 1:
+                least = min(least, cost + more[0] + two[a][b])
+            if masks > 2:
+                least = min(least, cost + more[1])
+        found = sorted(found)
+        texts = list(dict.fromkeys(text for _, text in found))[:READINGS]
+        price = {text: cost for cost, text in reversed(found)}
+        return texts if all(price[t] + 1e-9 < least for t in texts) else None
+
     def _few(self, steps) -> list[str] | None:
         """The same for a lattice that never has more than FEW readings so far; None for any other."""
+        held = self._walk(steps)
+        return held and [text for _, text in sorted((cost + self.row(a, b)[0], text) for text, (cost, a, b) in held.items() if text)][:READINGS]
+
+    def _walk(self, steps) -> dict[str, tuple[float, int, int]] | None:
+        """text -> (cost, its last two letters) of all readings, if they never are more than FEW."""
         held = {"": (0.0, 0, 0)}
         for choice, drop in steps:
             if len(held) * len(choice) > 2 * FEW:
@@ -242,7 +284,7 @@ class Decoder:
             if len(step) > FEW:
                 return None
             held = step
-        return [text for _, text in sorted((cost + self.row(a, b)[0], text) for text, (cost, a, b) in held.items() if text)][:READINGS]
+        return held
 
     @staticmethod
     def _child(key: int, parent: list[int], last: list[int], child: dict[int, int]) -> int:
