@@ -29,10 +29,9 @@ def ar1(r, n):
 
 def seasonal_metric(r, n):
     t = np.arange(n)
-    x = 100 + 30 * np.sin(2 * np.pi * t / 288) + 15 * np.sin(2 * np.pi * t / 2016) + 0.002 * t + 3 * r.standard_normal(n)
-    for s in np.flatnonzero(r.random(n) < 0.002):
-        x[s : s + 25] += 60 * r.random()
-    return _levels(x, 65536)
+    day, week = (2 * np.pi * t / k for k in (288, 2016))
+    bursts = r.random(n) < 0.002
+    return _levels(100 + 30 * np.sin(day) + 12 * np.sin(week + 0.7) + 0.004 * t + 3 * r.standard_normal(n) + 25 * bursts, 65536)
 
 
 def random_walk(r, n):
@@ -61,13 +60,24 @@ def poisson_counts(r, n):
     return r.poisson(np.maximum(8 * (1 + 0.6 * np.sin(2 * np.pi * np.arange(n) / 500)), 0.05)).astype(float)
 
 
+#: Fixed values of the heart beat: height, offset and width in seconds of its four waves; samples a second; reach in samples.
+WAVES = ((-0.15, -0.03, 0.012), (1.0, 0.0, 0.010), (-0.25, 0.028, 0.014), (0.30, 0.14, 0.055))
+RATE, REACH = 250, 120
+
+
 def ecg_like(r, n):
-    x, t, now = np.zeros(n), np.arange(n) / 250, 0.0
-    while now < n / 250:
-        for height, at, wide in ((0.15, -0.2, 0.025), (1.0, 0.0, 0.012), (-0.25, 0.03, 0.014), (0.3, 0.25, 0.045)):
-            x += height * np.exp(-0.5 * ((t - now - at) / wide) ** 2)
-        now += max(0.4, 0.8 + 0.06 * r.standard_normal())
-    return _levels(x + 0.08 * np.sin(2 * np.pi * 0.3 * t) + 0.015 * r.standard_normal(n), 4096)
+    t, beats, at = np.arange(n), [], 0.0
+    while at < (n - 1) / RATE:
+        beats.append(int(at * RATE))
+        at += 0.8 + 0.06 * r.standard_normal()
+    x = 0.12 * np.sin(t * 2 * np.pi / (4 * RATE))
+    for height, offset, width in WAVES:
+        centre = np.array(beats, float)[:, None] + offset * RATE
+        near = np.array(beats, int)[:, None] + int(offset * RATE) + np.arange(-REACH, REACH)[None, :]
+        wave = height * np.exp(-(((near - centre) / (width * RATE)) ** 2))
+        inside = (near >= 0) & (near < n)
+        np.add.at(x, near[inside], wave[inside])
+    return _levels(x + 0.006 * r.standard_normal(n), 4096)
 
 
 def regime_switch(r, n):
@@ -80,14 +90,17 @@ def regime_switch(r, n):
 
 
 def sparse_spiky(r, n):
-    spikes = np.where(r.random(n) < 0.01, 100 * r.standard_normal(n), 0.0)
-    return _levels(_recursive(spikes, 0.92) + 0.5 * r.standard_normal(n), 65536)
+    starts = np.flatnonzero(r.random(n) < 0.01)
+    heights = 100 * r.standard_normal(n)[starts]
+    since = np.searchsorted(starts, np.arange(n), side="right") - 1  # the newest spike, whose level alone decays
+    level = np.where(since < 0, 0.0, np.append(heights, 0.0)[since] * 0.92 ** (np.arange(n) - np.append(starts, 0)[since] + 1.0))
+    return _levels(level + 0.5 * r.standard_normal(n), 65536)
 
 
 GENERATORS = {f.__name__: f for f in (ar1, seasonal_metric, random_walk, iid_noise, lorenz, byte_counter, poisson_counts, ecg_like, regime_switch, sparse_spiky)}
 
 
-def corpus(spark: SparkSession, n: int = 20_000, seed: int = 12345, names=tuple(GENERATORS)) -> DataFrame:
+def corpus(spark: SparkSession, n: int = 20_000, seed: int = 7, names=tuple(GENERATORS)) -> DataFrame:
     """(sid, t, x) of the named generators, one task each."""
 
     def draw(batches):

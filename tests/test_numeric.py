@@ -40,28 +40,33 @@ def test_lattice_is_the_closed_loop_off_ties():
         assert (lorenzo.closed_loop(x, tau, k)[0] == want).all()
 
 
-def test_interpolation_in_sequence():
-    x, tau = walk(300), 1.1
+@pytest.mark.parametrize("n", [2, 5, 64, 65, 300])
+def test_levels_of_interpolation(n):
+    level, t, _, _ = interpolate.encode(walk(n), 1.1, "cubic")
+    top = interpolate.levels_of(n)
+    zeros = np.array([top if i == 0 else min(top, (int(i) & -int(i)).bit_length() - 1) for i in t])
+    assert (level == top - zeros).all()  # the level follows from the trailing zeros of t
+
+
+def test_interpolation_reproduces_polynomials():
+    t = np.arange(513)
+    line, cubic = 3 * t - 700, (t - 250) ** 3 // 1  # integers: on the lattice of step 1 nothing is lost
+    for x, kind, reach in ((line, "linear", 1), (line, "cubic", 1), (cubic, "cubic", 3)):
+        level, at, q, xhat = interpolate.encode(x.astype(float), 0.5, kind)
+        half = 2 ** (interpolate.levels_of(len(x)) - level)
+        inner = (level > 0) & (at - reach * half >= 0) & (at + reach * half < len(x))
+        assert inner.sum() > 400 and (q[inner] == 0).all() and (xhat == x[at]).all()
+
+
+def test_samples_depend_on_coarser_levels_alone():
+    x = walk(300)
     for kind in ("linear", "cubic"):
-        _, t, q, _ = interpolate.encode(x, tau, kind)
-        got = dict(zip(t.tolist(), q.tolist(), strict=True))
-        n, xh = len(x), {}
-        step, prev = 2 ** interpolate.levels_of(n), 0.0
-        for i in range(0, n, step):
-            xh[i] = prev = prev + np.rint((x[i] - prev) / 2 / tau) * 2 * tau
-        while step > 1:
-            h = step // 2
-            for i in range(h, n, step):
-                if i + h >= n:
-                    p = xh[i - h]
-                elif kind == "linear" or i - 3 * h < 0 or i + 3 * h >= n:
-                    p = (xh[i - h] + xh[i + h]) / 2
-                else:
-                    p = (-xh[i - 3 * h] + 9 * xh[i - h] + 9 * xh[i + h] - xh[i + 3 * h]) / 16
-                k = np.rint((x[i] - p) / 2 / tau)
-                assert got[i] == k
-                xh[i] = p + k * 2 * tau
-            step = h
+        level, t, q, _ = interpolate.encode(x, 1.1, kind)
+        for k in (2, 5):
+            other = x.copy()
+            other[t[level > k]] += 1000.0
+            level2, _, q2, _ = interpolate.encode(other, 1.1, kind)
+            assert (q2[level2 <= k] == q[level <= k]).all() and (q2 != q).any()
 
 
 @settings(max_examples=60, deadline=None)
@@ -73,6 +78,14 @@ def test_range_coder_round_trip(values, buckets):
     assert rangecoder.code_length(values, b, buckets) <= 8 * len(data) <= rangecoder.code_length(values, b, buckets) + 64
 
 
+def test_decisions_of_an_index():
+    slot, bit = rangecoder.decisions([0, -1, 9])
+    raw = slot == rangecoder.RAW
+    assert bit[raw].tolist() == [1, 0, 0, 0, 1, 0, 0] and raw.sum() == 7  # signs, then 4 = 00100
+    assert bit[~raw].tolist() == [0, 1, 0, 1, 1, 1, 1, 1, 1]
+    assert len(rangecoder.encode([])) == 5
+
+
 def test_range_coder_shapes():
     r = np.random.default_rng(0)
     for x in (r.laplace(0, 3, 4000), r.laplace(0, 0.4, 4000), r.standard_t(2, 4000) * 8, np.zeros(4000), r.integers(-200, 201, 4000)):
@@ -134,3 +147,47 @@ def test_gains():
 def test_generators(name):
     a, b = (synthetic.GENERATORS[name](np.random.default_rng(5), 400) for _ in range(2))
     assert (a == b).all() and len(a) == 400 and (a == np.rint(a)).all()
+
+
+class Still:
+    """A source of no noise: what is left of a generator is its definition."""
+
+    def __init__(self, events=()):
+        self.events = set(events)
+
+    def standard_normal(self, n=None):
+        return 0.0 if n is None else np.zeros(n)
+
+    def random(self, n=None):
+        return np.array([0.0 if i in self.events else 1.0 for i in range(n)])
+
+
+def unit(x):
+    return (x - x.min()) / (x.max() - x.min())
+
+
+def test_generators_by_definition():
+    t = np.arange(4032)
+    want = 30 * np.sin(t / 288 * 2 * np.pi) + 12 * np.sin(t / 2016 * 2 * np.pi + 0.7) + t / 250 + 25 * (t == 77)
+    assert np.abs(synthetic.seasonal_metric(Still([77]), 4032) / 65535 - unit(want)).max() < 1e-5
+    beat = synthetic.ecg_like(Still(), 1000)
+    peaks = np.flatnonzero(beat > 3000)
+    assert np.ptp(beat) == 4095 and set((peaks + 5) // 200) == set(range(5)) and ((peaks + 5) % 200 <= 10).all()  # a beat every 0.8 s at 250 Hz
+    flat = synthetic.sparse_spiky(Peaks({3: 100.0, 6: -50.0}), 12)
+    want = np.zeros(12)
+    want[3:6], want[6:] = 100 * 0.92 ** np.arange(1, 4), -50 * 0.92 ** np.arange(1, 7)  # a new spike takes the level's place
+    assert np.abs(flat / 65535 - unit(want)).max() < 1e-5
+
+
+class Peaks(Still):
+    def __init__(self, heights):
+        super().__init__(heights)
+        self.heights = heights
+
+    def standard_normal(self, n=None):
+        out = np.zeros(n)
+        if not hasattr(self, "drawn"):  # the heights are drawn before the noise
+            self.drawn = True
+            for i, h in self.heights.items():
+                out[i] = h / 100
+        return out
