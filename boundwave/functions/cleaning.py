@@ -15,10 +15,10 @@ def number(text: Column) -> Column:
 def gap_fill(series: DataFrame) -> DataFrame:
     """Missing x (null or NaN) by linear interpolation in t; the ends take the nearest value."""
     x = F.when(~F.isnan("x"), F.col("x"))
-    before = Window.partitionBy("sid").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("sid").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    seen = Window.partitionBy("sid").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("sid").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # frames that only grow: a row is looked at once
     known = F.when(x.isNotNull(), F.struct("t", x.alias("x")))
-    rows = series.select("sid", "t", F.last(known, True).over(before).alias("a"), F.first(known, True).over(after).alias("b"))
+    rows = series.select("sid", "t", F.last(known, True).over(seen).alias("a"), F.last(known, True).over(back).alias("b"))
     between = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     value = F.when(F.col("a").isNull(), F.col("b.x")).when(F.col("b").isNull() | (F.col("a.t") == F.col("b.t")), F.col("a.x")).otherwise(between)
     return rows.select("sid", "t", value.alias("x"))

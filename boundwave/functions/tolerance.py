@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 RHOS = (0.01, 0.05, 0.2)
 FLOOR = 0.5
+SIGNIFICANT = 30  # binary digits that a bound keeps
 
 
 def tau_of(sigma, rho, floor: float = FLOOR):
-    """The bound, snapped to millionths: partial sums of a deviation may differ in their last bits."""
-    return F.greatest(F.round(rho * sigma, 6), F.lit(floor))
+    """The bound, snapped to SIGNIFICANT binary digits, whatever its size: partial sums of a deviation may differ in their last bits."""
+    tau = rho * sigma
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(tau)) - SIGNIFICANT)
+    return F.greatest(F.when(tau > 0, F.rint(tau / unit) * unit).otherwise(0.0), F.lit(floor))
 
 
 def tolerances(series: DataFrame, rhos=RHOS, floor: float = FLOOR) -> DataFrame:
@@ -33,4 +36,4 @@ def within(error, tau, slack: float = 1e-6):
 def tau_sql(rhos=RHOS, floor: float = FLOOR) -> str:
     values = ", ".join(f"({r}::double)" for r in rhos)
     return f"""stats AS (SELECT sid, count(*) AS n, stddev_pop(x) AS sigma FROM series GROUP BY sid
-), taus AS (SELECT sid, rho, n, sigma, greatest(round(rho * sigma, 6), {floor}::double) AS tau FROM stats CROSS JOIN (VALUES {values}) p(rho))"""
+), taus AS (SELECT sid, rho, n, sigma, greatest(CASE WHEN rho * sigma > 0 THEN round_even(rho * sigma / pow(2.0, floor(log2(rho * sigma)) - {SIGNIFICANT}), 0) * pow(2.0, floor(log2(rho * sigma)) - {SIGNIFICANT}) ELSE 0 END, {floor}::double) AS tau FROM stats CROSS JOIN (VALUES {values}) p(rho))"""
