@@ -24,40 +24,44 @@ def encode_stream(samples: DataFrame, order: int = 2) -> DataFrame:
     weights = WEIGHTS[order]
 
     def step(key, frames, state: GroupState):
-        last, *m, late = state.get if state.exists else (-1, 0, 0, 0, 0)
+        last, *held, late = state.get if state.exists else (-1, 0, 0, 0, 0)
         rows = pd.concat(list(frames)).sort_values("t", kind="stable")
-        out = []
-        for t, x, tau in zip(rows["t"], rows["x"], rows["tau"], strict=True):
-            if t <= last:
-                late += 1
-                continue
-            now = int(np.rint(x / (2 * tau)))
-            out.append((key[0], int(t), now - sum(c * v for c, v in zip(weights, m, strict=False)), late))
-            m, last = [now, *m[:2]], int(t)
-        state.update((last, *m, late))
-        yield pd.DataFrame(out, columns=["sid", "t", "q", "late"])
+        t = rows["t"].to_numpy()
+        new = t > np.concatenate(([last], np.maximum(t[:-1], last)))  # neither late nor a repetition
+        m = np.rint(rows["x"].to_numpy() / (2 * rows["tau"].to_numpy())).astype(np.int64)[new]
+        past = np.concatenate((held[::-1], m)).astype(np.int64)
+        q = m - sum(c * past[2 - j : len(past) - 1 - j] for j, c in enumerate(weights))
+        rejected = late + np.cumsum(~new)
+        state.update((int(max(last, t[-1])), *past[: -4 : -1].tolist(), int(rejected[-1])))
+        yield pd.DataFrame({"sid": key[0], "t": t[new], "q": q, "late": rejected[new]})
 
     return samples.groupBy("sid").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """All rows that a bounded stream yields, through the memory sink."""
+def run_to_end(stream: DataFrame) -> tuple[DataFrame, int]:
+    """(all rows that a bounded stream yields, batches it took), through files in the shared folder."""
     from ..plans.storage import scratch
 
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", scratch(stream.sparkSession)).trigger(availableNow=True).start()
+    spark, out = stream.sparkSession, scratch(stream.sparkSession)
+    q = stream.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    batches = sum(p["numInputRows"] > 0 for p in q.recentProgress)
+    return spark.read.schema(stream.schema).parquet(out), batches
 
 
 def stream_lorenzo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second differences of the revenue series, coded as they stream in several batches."""
+    """Second differences of the revenue series, coded as they stream: three files, a batch for each."""
     from ..plans.storage import scratch
 
     path = scratch(spark)
-    rows = with_tau(views.daily_revenue(spark, sf_dir), (0.05,)).select("sid", "t", "x", "tau")
-    rows.repartitionByRange(3, "t").sortWithinPartitions("t").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(path)
-    return run_to_end(encode_stream(stream), f"stream_{path.rsplit('/', 1)[-1]}").select("sid", "t", "q")
+    rows = with_tau(views.daily_revenue(spark, sf_dir), (0.05,)).select("sid", "t", "x", "tau").persist()
+    ends = [int(v) for v in rows.agg(F.percentile("t", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("p")).first()["p"] or ()]
+    for low, high in zip([-1, *ends], [*ends, (1 << 62)], strict=True):  # files are taken in the order in which they were written
+        rows.where(F.col("t").between(low + 1, high)).coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found, _batches = run_to_end(encode_stream(stream))
+    return found.select("sid", "t", "q")
 
 
 QUERIES = {"stream_lorenzo": stream_lorenzo}
