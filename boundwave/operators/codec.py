@@ -38,12 +38,15 @@ def compress(series: DataFrame, rho: float = 0.05, floor: float = 0.5, predictor
 
 
 def decompress(blobs: DataFrame, predictor: str = "last", **options) -> DataFrame:
-    """(group_id, sid, t, xhat) of containers."""
+    """(group_id, sid, t, xhat) of containers; where there are no names (`sids`), a series has its number in the container."""
+    if "sids" not in blobs.columns:
+        blobs = blobs.withColumn("sids", F.lit(None).cast("array<string>"))
 
     def run(batches):
         for batch in batches:
             for group, sids, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
-                for s, xhat in zip(sids.as_py(), container.decode(blob.as_py(), REGISTRY[predictor](**options)), strict=True):
+                found = container.decode(blob.as_py(), REGISTRY[predictor](**options))
+                for s, xhat in zip(sids.as_py() or map(str, range(len(found))), found, strict=False):
                     yield pa.RecordBatch.from_pydict({"group_id": [group.as_py()] * len(xhat), "sid": [s] * len(xhat), "t": np.arange(len(xhat)), "xhat": xhat})
 
     return blobs.select("group_id", "sids", "blob").mapInArrow(run, "group_id string, sid string, t long, xhat double")
