@@ -111,11 +111,11 @@ def heteroscedastic_bits(spark, sf_dir):
 
 
 @query(f"""{REV}, w AS (SELECT sid, t, x, list(x) OVER (PARTITION BY sid ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS v FROM series)
-SELECT sid, t, len(v) AS n, list_sum(v) AS total, len(list_filter(v, lambda a: a <= x)) AS place, list_max(v) AS top FROM w WHERE t % 5 = 0""")
+SELECT sid, t, len(v) AS n, list_sum(v) AS total, len(list_filter(v, lambda a: a <= x)) AS place, list_max(v) AS top FROM w""")
 def window_location(spark, sf_dir):
     """Sliding windows of nine samples: their sum, their running maximum's end, and how many are not above the newest."""
     v = F.collect_list("x").over(by_t().rowsBetween(-8, 0))
-    d = views.daily_revenue(spark, sf_dir).select("sid", "t", "x", v.alias("v")).where("t % 5 = 0")
+    d = views.daily_revenue(spark, sf_dir).select("sid", "t", "x", v.alias("v"))
     place = F.size(F.filter("v", lambda a: a <= F.col("x"))).cast("long")
     return d.select("sid", "t", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, b: a + b).alias("total"), place.alias("place"), F.element_at(codelength.monotone(F.col("v")), -1).alias("top"))
 
@@ -154,15 +154,17 @@ def trailing_quantiles(x: np.ndarray, context: int) -> np.ndarray:
     return np.quantile(windows, np.arange(1, 10) / 10, axis=1).T
 
 
-@query()
+@query(f"""{REV}, w AS (SELECT sid, t, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) OVER (PARTITION BY sid ORDER BY t ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS q FROM series)
+SELECT sid, t, {", ".join(f"round(q[{i}], 4) AS q{i}0" for i in range(1, 10))} FROM w WHERE t >= 64""")
 def forecast_collection(spark, sf_dir):
-    """Quantile forecasts at contiguous positions: those of the 64 samples before, for 256 positions."""
+    """Nine quantiles of the 64 samples before each position, at every position that has them."""
 
     def work(_sid, x):
-        q = trailing_quantiles(x, 64)[:256] if len(x) > 64 else np.zeros((0, 9))
-        return {"t": np.arange(64, 64 + len(q)), "low": q[:, 0], "median": q[:, 4], "high": q[:, 8]}
+        q = trailing_quantiles(x, 64) if len(x) > 64 else np.zeros((0, 9))
+        return {"t": np.arange(64, 64 + len(q))} | {f"q{i + 1}0": q[:, i] for i in range(9)}
 
-    return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "t long, low double, median double, high double")
+    found = by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "t long, " + ", ".join(f"q{i}0 double" for i in range(1, 10)))
+    return found.select("sid", "t", *(F.round(f"q{i}0", 4).alias(f"q{i}0") for i in range(1, 10)))
 
 
 def _t3(z):
@@ -170,47 +172,73 @@ def _t3(z):
     return 0.5 + (u / (1 + u * u) + np.arctan(u)) / np.pi
 
 
-def expert_masses(x: np.ndarray, context: int = 64) -> tuple[list[str], np.ndarray]:
-    """(names, p[expert, sample]) of Laplace and t3 experts around the trailing median, and linear prediction."""
+def expert_masses(x: np.ndarray, context: int = 64, order: int = 32, stack: int = 16, adapt: int = 256) -> dict[str, np.ndarray]:
+    """Mass of every sample from `context` on under each expert: Laplace and t3 around the trailing median, linear prediction, and blends of past samples with and without the median."""
     q, v = trailing_quantiles(x, context), x[context:]
-    span = x.max() - x.min() + 1
+    at, span, median = np.arange(context, len(x)), x.max() - x.min() + 1, q[:, 4]
     spread = np.maximum(q[:, 8] - q[:, 0], 1e-3)
-    names, rows = [], []
-
-    def laplace(centre, scale):
-        a = np.abs(v - centre)
-        top = np.exp(-(a + 0.5) / scale)
-        return np.where(a < 0.5, 1 - top, 0.5 * (np.exp(-np.maximum((a - 0.5) / scale, 0)) - top))
-
-    for k in codelength.LAPLACE_SCALES:
-        names.append(f"laplace_{k}")
-        rows.append(laplace(q[:, 4], np.maximum(k * spread / (2 * codelength.LN5), 1e-3)))
+    out = {f"laplace_{k}": mixture.laplace_at(np.abs(v - median), k * spread / (2 * codelength.LN5)) for k in codelength.LAPLACE_SCALES}
     for k in codelength.T3_SCALES:
-        names.append(f"t3_{k}")
         b = np.maximum(k * spread / (2 * codelength.T3_Q90), 1e-3)
-        rows.append(_t3((v + 0.5 - q[:, 4]) / b) - _t3((v - 0.5 - q[:, 4]) / b))
-    order = 16
-    p, r = predictors.lag_fit(x, list(range(1, order + 1)))
-    scale = np.maximum(np.convolve(np.abs(r), np.ones(context) / context)[: len(r)], 1.0)
-    names.append("linear")
-    rows.append(laplace(p[context - order :], np.roll(scale, 1)[context - order :]))
-    return names, (1 - codelength.ESCAPE) * np.clip(np.stack(rows), 0, 1) + codelength.ESCAPE / span
+        out[f"t3_{k}"] = _t3((v + 0.5 - median) / b) - _t3((v - 0.5 - median) / b)
+
+    def followed(p: np.ndarray, start: int) -> np.ndarray:
+        """A Laplace density around predictions from sample `start` on, its scale following their errors."""
+        r = np.abs(x[start:] - p)
+        return mixture.laplace_at(r, mixture.trailing_mean(r, adapt, 1e-3))[context - start :]
+
+    windows = np.lib.stride_tricks.sliding_window_view(x, order)[:-1]
+    out["lpc32"] = followed(np.rint(windows @ predictors.autoregression(x, order)), order)
+    past = [np.ones(len(v)), *(x[at - k] for k in range(1, stack + 1))]
+    for name, columns in (("stack", [*past, median]), ("stack_nomodel", past)):
+        f = np.column_stack(columns)
+        out[name] = followed(np.rint(f @ np.linalg.lstsq(f, v, rcond=None)[0]), context)
+    return {k: (1 - codelength.ESCAPE) * np.clip(p, 0, 1) + codelength.ESCAPE / span for k, p in out.items()}
 
 
 @query()
 def bayes_mixture_bits(spark, sf_dir):
-    """Bits a sample of each expert, of their mixture, and of the mixture without the quantile experts."""
+    """Bits a sample of each expert, of the mixture of all, and of the mixture of those that use no quantile."""
 
     def work(_sid, x):
-        names, p = expert_masses(x)
-        out = {k: float(-np.log2(row).mean()) for k, row in zip(names, p, strict=True)}
-        out["mixture"] = float(mixture.mixture_bits(p, 0.998).mean())
-        out["mixture_classical"] = float(mixture.mixture_bits(p[-1:], 0.998).mean())
+        p = expert_masses(x)
+        out = {k: float(-np.log2(row).mean()) for k, row in p.items()}
+        out["mixture"] = float(mixture.mixture_bits(np.stack(list(p.values())), 0.998).mean())
+        out["mixture_classical"] = float(mixture.mixture_bits(np.stack([p["lpc32"], p["stack_nomodel"]]), 0.998).mean())
         return {"expert": np.array(list(out)), "bpv": np.array(list(out.values()))}
 
     return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "expert string, bpv double")
 
 
+_EXPERTS = [*((k, "laplace") for k in codelength.LAPLACE_SCALES), *((k, "t3") for k in codelength.T3_SCALES)]
+
+
+def _mass_sql(k: float, kind: str) -> str:
+    if kind == "laplace":
+        b = f"greatest({k}::double * s / {2 * codelength.LN5!r}, 0.001)"
+        return f"CASE WHEN r < 0.5 THEN 1 - exp(-(r + 0.5) / {b}) ELSE 0.5 * (exp(-(r - 0.5) / {b}) - exp(-(r + 0.5) / {b})) END"
+    b = f"(greatest({k}::double * s / {2 * codelength.T3_Q90!r}, 0.001) * sqrt(3.0::double))"
+    side = lambda e: f"((d {e}) / {b} / (1 + ((d {e}) / {b}) * ((d {e}) / {b})) + atan((d {e}) / {b})) / pi()"
+    return f"{side('+ 0.5')} - {side('- 0.5')}"
+
+
+@query(f"""{REV}, w AS (SELECT sid, t, x, quantile_cont(x, [0.1, 0.5, 0.9]) OVER (PARTITION BY sid ORDER BY t ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS q, max(x) OVER (PARTITION BY sid) - min(x) OVER (PARTITION BY sid) + 1 AS span FROM series
+), e AS (SELECT sid, t - 64 AS t, span, x - q[2] AS d, abs(x - q[2]) AS r, greatest(q[3] - q[1], 0.001) AS s FROM w WHERE t >= 64
+), p AS (SELECT sid, t, list_transform([{", ".join(_mass_sql(*e) for e in _EXPERTS)}], lambda v: 0.9999::double * least(greatest(v, 0), 1) + 0.0001::double / span) AS p FROM e
+), run(sid, t, w, mass) AS (SELECT DISTINCT sid, -1::bigint, list_transform(range({len(_EXPERTS)}), lambda i: 1.0::double / {len(_EXPERTS)}), 1.0::double FROM p
+  UNION ALL SELECT run.sid, p.t, list_transform(list_zip(run.w, p.p), lambda z: 0.998::double * z[1] * z[2] / list_dot_product(run.w, p.p) + 0.002::double / {len(_EXPERTS)}), list_dot_product(run.w, p.p) FROM run JOIN p ON p.sid = run.sid AND p.t = run.t + 1)
+SELECT sid, count(*) AS n, round(avg(-log2(mass)), 6) AS bpv FROM run WHERE t >= 0 GROUP BY sid""")
+def quantile_mixture_bits(spark, sf_dir):
+    """Bits a sample of the mixture of the twelve experts around the trailing median."""
+
+    def work(_sid, x):
+        p = expert_masses(x)
+        rows = np.stack([p[f"{kind}_{k}"] for k, kind in _EXPERTS])
+        return {"n": np.array([rows.shape[1]]), "bpv": np.array([mixture.mixture_bits(rows, 0.998).mean()])}
+
+    return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "n long, bpv double").select("sid", "n", F.round("bpv", 6).alias("bpv"))
+
+
 @query()
 def spread_contexts(spark, sf_dir):
     """Range-coded bytes with and without eight spread buckets as contexts, and bucketed streams compressed apart."""
@@ -230,10 +258,10 @@ def spread_contexts(spark, sf_dir):
 
 @query()
 def stride_loop(spark, sf_dir):
-    """Closed loops whose forecasts cover 1, 8 and 32 samples: bits a sample, and whether the bound holds."""
+    """Closed loops whose forecasts cover 1, 8, 32 and 64 samples: bits a sample, and whether the bound holds."""
 
     def work(_sid, _rho, x, tau):
-        steps, bpv, held = [1, 8, 32], [], []
+        steps, bpv, held = [1, 8, 32, 64], [], []
         for s in steps:
             q, xhat = predictors.closed_loop(x, float(tau[0]), predictors.SeasonalLag(7), 512, s)
             bpv.append(rangecoder.code_length(q) / max(1, len(x)))
@@ -248,7 +276,7 @@ def synthetic_meta(spark, sf_dir):
     """Length, range and distinct values of the ten synthetic series; sf_dir is not used."""
     from ..sources import synthetic
 
-    return synthetic.meta(synthetic.corpus(spark, 2000))
+    return synthetic.meta(synthetic.corpus(spark))
 
 
 @query()
@@ -263,7 +291,20 @@ def classical_code_lengths(spark, sf_dir):
     return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "code string, bpv double")
 
 
-@query()
+def _recalibrated_sql() -> str:
+    lap = lambda b: f"CASE WHEN r < 0.5 THEN 1 - exp(-(r + 0.5) / {b}) ELSE 0.5 * (exp(-(r - 0.5) / {b}) - exp(-(r + 0.5) / {b})) END"
+    u = lambda e: f"((d {e}) / (bt * sqrt(3.0::double)))"
+    t3 = f"({u('+ 0.5')} / (1 + {u('+ 0.5')} * {u('+ 0.5')}) + atan({u('+ 0.5')}) - {u('- 0.5')} / (1 + {u('- 0.5')} * {u('- 0.5')}) - atan({u('- 0.5')})) / pi()"
+    cost = lambda p: f"round(avg(-log2(0.9999::double * least(greatest({p}, 0), 1) + 0.0001::double / span)), 6)"
+    return f"""{REV}, w AS (SELECT sid, t, x, quantile_cont(x, [0.1, 0.5, 0.9]) OVER (PARTITION BY sid ORDER BY t ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS q, max(x) OVER (PARTITION BY sid) - min(x) OVER (PARTITION BY sid) + 1 AS span FROM series
+), e AS (SELECT sid, t - 64 AS t, span, x - q[2] AS d, abs(x - q[2]) AS r, greatest((q[3] - q[1]) / {2 * codelength.LN5!r}, 0.001) AS s FROM w WHERE t >= 64
+), i AS (SELECT sid, greatest(avg(r), 0.001) AS a, greatest(avg(s), 0.001) AS b FROM e WHERE t < 256 GROUP BY sid
+), run(sid, t, a, b) AS (SELECT sid, 0::bigint, a, b FROM i UNION ALL SELECT run.sid, run.t + 1, run.a + (e.r - run.a) / 256, run.b + (e.s - run.b) / 256 FROM run JOIN e ON e.sid = run.sid AND e.t = run.t
+), z AS (SELECT sid, span, d, r, greatest(a, 0.001) AS b1, greatest(greatest(a, 0.001) / greatest(b, 0.001) * s, 0.001) AS b2, greatest(greatest(a, 0.001) / greatest(b, 0.001) * s * {codelength.LN5 / codelength.T3_Q90!r}, 0.001) AS bt FROM run JOIN e USING (sid, t))
+SELECT sid, {cost(lap("b1"))} AS even, {cost(lap("b2"))} AS shaped, {cost(t3)} AS shaped_t3 FROM z GROUP BY sid"""
+
+
+@query(_recalibrated_sql())
 def recalibrated_expert_bits(spark, sf_dir):
     """Experts around trailing quantiles whose scale is recalibrated as it goes: even, by the model's shape, and with t3 tails."""
     w = by_t().rowsBetween(-64, -1)

@@ -159,7 +159,8 @@ def downsampled(series: DataFrame, steps=STEPS) -> DataFrame:
     each = series.withColumn("step", F.explode(F.array(*(F.lit(s) for s in steps))))
     kept = F.when(F.col("t") % F.col("step") == 0, F.struct("t", "x"))
     w = Window.partitionBy("sid", "step").orderBy("t")
-    a, b = F.last(kept, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(kept, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    seen = (Window.unboundedPreceding, 0)  # either way frames only grow, so a row is looked at once
+    a, b = (F.last(kept, True).over(Window.partitionBy("sid", "step").orderBy(turn).rowsBetween(*seen)) for turn in (F.asc("t"), F.desc("t")))
     d = each.select("sid", "step", "t", "x", a.alias("a"), b.alias("b"))
     line = F.when(F.col("b").isNull() | (F.col("b.t") == F.col("a.t")), F.col("a.x")).otherwise(F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
     error = d.withColumn("e", F.abs(line - F.col("x"))).groupBy("sid", "step").agg(F.count(F.lit(1)).alias("n"), F.max("e").alias("worst"), F.avg("e").alias("mean"))
@@ -327,15 +328,16 @@ def noise_gain_linear(spark, sf_dir):
     return h.select("sid", "rho", "predictor", F.round("gain", 6).alias("gain"), F.round("clean", 3).alias("clean"), "total", first.alias("wins"))
 
 
-@query(f"""{REV}, pair AS (SELECT a.t, a.x AS x, b.x AS cov FROM series a JOIN series b ON a.t = b.t WHERE a.sid = 'A' AND b.sid = 'N'
-), w AS (SELECT t, x, list(cov) OVER (ORDER BY t ROWS BETWEEN 8 PRECEDING AND 3 FOLLOWING) AS c FROM pair)
-SELECT t, x, len(c) AS n, list_sum(c) AS total, c[1] AS first_cov FROM w""")
+@query(f"""{REV}, pair AS (SELECT a.sid, b.sid AS other, a.t, a.x AS x, b.x AS cov FROM series a JOIN series b ON a.t = b.t AND a.sid <> b.sid
+), w AS (SELECT sid, other, t, x, list(cov) OVER (PARTITION BY sid, other ORDER BY t ROWS BETWEEN 8 PRECEDING AND 3 FOLLOWING) AS c FROM pair)
+SELECT sid, other, t, x, len(c) AS n, list_sum(c) AS total, c[1] AS first_cov FROM w""")
 def covariate_window(spark, sf_dir):
+    """For each ordered pair of series, the other's samples from eight before each sample to three behind it."""
     s = views.daily_revenue(spark, sf_dir)
-    pair = s.where("sid = 'A'").select("sid", "t", "x").join(s.where("sid = 'N'").select("t", F.col("x").alias("cov")), "t")
-    c = F.collect_list("cov").over(Window.partitionBy("sid").orderBy("t").rowsBetween(-8, 3))
-    d = pair.select("t", "x", c.alias("c"))
-    return d.select("t", "x", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0.0), lambda a, v: a + v).alias("total"), F.element_at("c", 1).alias("first_cov"))
+    pair = s.join(s.select(F.col("sid").alias("other"), "t", F.col("x").alias("cov")), "t").where("sid <> other")
+    c = F.collect_list("cov").over(Window.partitionBy("sid", "other").orderBy("t").rowsBetween(-8, 3))
+    d = pair.select("sid", "other", "t", "x", c.alias("c"))
+    return d.select("sid", "other", "t", "x", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0.0), lambda a, v: a + v).alias("total"), F.element_at("c", 1).alias("first_cov"))
 
 
 # --- loops over one series: Arrow grouped maps ---
@@ -484,19 +486,6 @@ def best_of_six_classical(spark, sf_dir):
     return by_series(with_tau(views.daily_revenue(spark, sf_dir)), ["sid", "rho"], ["x", "tau"], work, "predictor string, bpv double, best boolean, backend string")
 
 
-@query()
-def lag_regression_bits(spark, sf_dir):
-    """Bits of seasonal-lag regressions and of the stack of past samples, under the shared residual coder."""
-    lags = {"week": [1, 2, 7], "month": [1, 7, 30], "near": [1, 2, 3]}
-
-    def work(_sid, x):
-        out = {k: (mixture.fair_bits(predictors.lag_fit(x, v)[1]).sum() + 32 * (len(v) + 1)) / max(1, len(x)) for k, v in lags.items()}
-        out["stack16"] = mixture.fair_bits(predictors.stacked(x, None)).sum() / max(1, len(x))
-        return {"model": np.array(list(out)), "bpv": np.array(list(out.values()))}
-
-    return by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "model string, bpv double")
-
-
 @query()
 def container_roundtrip(spark, sf_dir):
     """Containers of all series: bytes, bound, and whether decoding gives the encoder's reconstruction within it."""

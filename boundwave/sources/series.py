@@ -27,6 +27,12 @@ def daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(rows, "day")
 
 
+def supplier_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price of lines shipped, by day and supplier: the number of series grows with the data."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("sid"), F.to_date("l_shipdate").alias("at"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    return dense(rows, "day")
+
+
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price of orders, by day and priority."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sid"), F.to_date("o_orderdate").alias("at"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
@@ -62,6 +68,7 @@ REVENUE_SQL = """rev_raw AS (
   SELECT s.sid, cast(p.day - p.a AS bigint) AS t, round_even(cast(coalesce(r.v, 0) AS double), 0) AS x
   FROM (SELECT DISTINCT sid FROM rev_raw) s CROSS JOIN rev_spine p LEFT JOIN rev_raw r ON r.sid = s.sid AND r.day = p.day
 )"""
+SUPPLIER_SQL = REVENUE_SQL.replace("l_returnflag AS sid", "cast(l_suppkey AS varchar) AS sid")
 ORDERS_SQL = """ord_raw AS (
   SELECT o_orderpriority AS sid, cast(o_orderdate AS date) AS day, sum(cast(o_totalprice AS decimal(18,2))) AS v FROM orders GROUP BY 1, 2
 ), ord_ends AS (SELECT min(day) AS a, max(day) AS b FROM ord_raw

@@ -110,11 +110,112 @@ def test_partitioning_changes_nothing(spark):
     assert a == b
 
 
+def test_group_size_and_padding_change_nothing(spark):
+    from boundwave.operators import container, predictors
+
+    r = np.random.default_rng(0)
+    parts = [np.rint(np.cumsum(r.normal(0, 30, 400))) for _ in range(5)]
+    taus = [2.0, 3.0, 4.0, 5.0, 6.0]
+    _, alone = zip(*(container.encode([x], [tau], predictors.Last(), 64) for x, tau in zip(parts, taus, strict=True)), strict=True)
+    _, together = container.encode(parts, taus, predictors.Last(), 64)
+    _, turned = container.encode(parts[::-1], taus[::-1], predictors.Last(), 64)
+    padded = [container.encode([np.concatenate((x, x[-1:]))], [tau], predictors.Last(), 64)[1][0][:-1] for x, tau in zip(parts, taus, strict=True)]
+    for i in range(5):
+        assert (alone[i][0] == together[i]).all() and (turned[4 - i] == together[i]).all() and (padded[i] == together[i]).all()
+
+
+def stream_of(spark, path, batches):
+    schema = "sid string, t long, x double, tau double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_stream_rejects_late(spark, tmp_path):
     from boundwave.streaming.lorenzo_stream import encode_stream, run_to_end
 
-    rows = spark.createDataFrame([("s", t, float(10 * t), 1.0) for t in (0, 1, 2, 2)], "sid string, t long, x double, tau double")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = run_to_end(encode_stream(stream, 1), "late_test").orderBy("t").collect()
-    assert [(r["t"], r["q"]) for r in got] == [(0, 0), (1, 5), (2, 5)]
+    stream = stream_of(spark, str(tmp_path / "in"), [[("s", t, float(10 * t), 1.0) for t in (0, 1, 2, 2)]])
+    got, _ = run_to_end(encode_stream(stream, 1))
+    assert [(r["t"], r["q"], r["late"]) for r in got.orderBy("t").collect()] == [(0, 0, 0), (1, 5, 0), (2, 5, 0)]
+
+
+def test_stream_carries_state_over_batches(spark, tmp_path):
+    from boundwave.operators.lorenzo import closed_loop
+    from boundwave.streaming.lorenzo_stream import encode_stream, run_to_end
+
+    x = np.rint(np.cumsum(np.random.default_rng(2).normal(0, 40, 60)))
+    rows = [("s", t, float(v), 1.3) for t, v in enumerate(x)]
+    for order in (1, 2, 3):
+        stream = stream_of(spark, str(tmp_path / f"in{order}"), [rows[:1], rows[1:3], rows[3:40], [rows[5], *rows[40:]]])
+        got, batches = run_to_end(encode_stream(stream, order))
+        got = got.orderBy("t").collect()
+        assert batches == 4 and [r["q"] for r in got] == closed_loop(x, 1.3, order)[0].tolist()
+        assert got[-1]["late"] == 1 and got[39]["late"] == 0
+
+
+def test_stream_query_takes_several_batches(spark):
+    from boundwave.streaming import lorenzo_stream
+
+    seen = []
+    original = lorenzo_stream.run_to_end
+    try:
+        lorenzo_stream.run_to_end = lambda s: seen.append(original(s)) or seen[-1]
+        lorenzo_stream.stream_lorenzo(spark, "/root/testdata/sf0.001")
+    finally:
+        lorenzo_stream.run_to_end = original
+    assert seen[0][1] == 3
+
+
+def test_long_series_are_filled_in_time(spark):
+    from time import perf_counter
+
+    s = spark.range(1_000_000).select(F.lit("s").alias("sid"), F.col("id").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("x"))
+    began = perf_counter()
+    r = cleaning.gap_fill(s).agg(F.sum(F.abs(F.col("x") - F.least(F.col("t"), F.lit(999000)))).alias("e"), F.count("x").alias("n")).first()
+    assert r["n"] == 1_000_000 and r["e"] < 1e-3 and perf_counter() - began < 60
+
+
+def test_bounds_of_small_series_keep_their_digits(spark):
+    from boundwave.functions.tolerance import tolerances
+
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1e-6, 500)
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "sid string, t long, x double")
+    got = {row["rho"]: row["tau"] for row in tolerances(df, floor=1e-12).collect()}
+    for rho, tau in got.items():
+        assert tau == pytest.approx(rho * x.std(), rel=1e-8)
+
+
+def test_command_line_round_trip(spark, tmp_path, capsys, monkeypatch):
+    from boundwave import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    r = np.random.default_rng(8)
+    x = {f"s{i}": np.rint(np.cumsum(r.normal(0, 20, n))) for i, n in enumerate((300, 280, 300))}
+    for k, v in x.items():
+        np.save(tmp_path / f"{k}.npy", v)
+    names = [str(tmp_path / f"{k}.npy") for k in x]
+    cli.main(["compress", str(tmp_path / "out"), *names, "--group", "2", "--ctx", "64"])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["g00000.bin", "g00000.json", "g00001.bin", "g00001.json"]
+    assert "3 series, 880 values" in capsys.readouterr().out
+    cli.main(["decompress", str(tmp_path / "out"), str(tmp_path / "back"), "--digest"])
+    assert capsys.readouterr().out.count("sha256") == 3
+    for k, v in x.items():
+        padded = np.concatenate((v, np.repeat(v[-1:], 300 - len(v)))) if k == "s1" else v
+        back = np.load(tmp_path / "back" / f"{k}.npy")
+        assert len(back) == len(v) and np.abs(back - v).max() <= max(0.05 * padded.std(), 0.5) + 1e-6
+    cli.main(["info", str(tmp_path / "out")])
+    assert capsys.readouterr().out.count("body") == 3
+    cli.main(["bench", names[0]])
+    shown = capsys.readouterr().out
+    assert all(p in shown for p in ("lpc32", "interp_cubic", "lorenzo3", "last"))
+
+
+def test_containers_without_names(spark, tmp_path):
+    from boundwave.operators import container, predictors
+
+    x = np.rint(np.cumsum(np.random.default_rng(1).normal(0, 9, 100)))
+    blob, (want,) = container.encode([x], [2.0], predictors.Last(), 32)
+    (tmp_path / "a.bin").write_bytes(blob)
+    got = codec.decompress(files.containers(spark, f"{tmp_path}/*.bin")).orderBy("t").collect()
+    assert [r["xhat"] for r in got] == pytest.approx(want.tolist()) and {(r["group_id"], r["sid"]) for r in got} == {("a", "0")}
