@@ -32,6 +32,11 @@ def serialize(a: np.ndarray) -> tuple[bytes, int]:
     return (a - low).astype(f"<u{w}").tobytes(), w
 
 
+def deserialize(data: bytes, width: int, low: int) -> np.ndarray:
+    """The series that `serialize` gave, from its least value."""
+    return np.frombuffer(data, f"<u{width}").astype(np.int64) + low
+
+
 def shuffle(data: bytes, width: int) -> bytes:
     """All first bytes, then all second bytes, and so on."""
     return np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes()

@@ -212,3 +212,44 @@ def _supplier_sql() -> None:
 
 
 _supplier_sql()
+
+
+BASELINES = ("order0", "delta", "linear8", "linear32", *(f"{m}_{layout}" for m in ("xz", "bz2", "zstd") for layout in ("raw", "raw_shuffled", "delta", "delta_shuffled")))
+
+
+@query
+def all_baselines(spark, sf_dir):
+    """Bits a sample of ideal codes and general compressors on whole samples, a column each, and the best of them."""
+
+    def work(_sid, x):
+        ideal = {"order0": mixture.order0(x), "delta": mixture.order0(np.diff(x, prepend=x[:1])), "linear8": mixture.linear_laplace(x, 8), "linear32": mixture.linear_laplace(x, 32)}
+        found = ideal | {k: 8.0 * v for k, v in compressors.sizes(x).items()}
+        return {"method": np.array(list(found)), "bpv": np.array(list(found.values())) / max(1, len(x))}
+
+    each = by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "method string, bpv double").where(F.col("method").isin(*BASELINES))
+    best = each.groupBy("sid").agg(F.min_by("method", F.struct("bpv", "method")).alias("best"))
+    return each.groupBy("sid").pivot("method", list(BASELINES)).agg(F.first("bpv")).join(best, "sid")
+
+
+@query
+def noise_gain_fitted(spark, sf_dir):
+    """Noise gain of fitted linear predictors: the norm of their weights."""
+
+    def work(_sid, x):
+        orders = [1, 2, 8, 32]
+        return {"n_weights": np.array(orders), "weights": [predictors.autoregression(x, k).tolist() for k in orders]}
+
+    fitted = by_series(views.daily_revenue(spark, sf_dir), ["sid"], ["x"], work, "n_weights long, weights array<double>")
+    norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))
+    return fitted.select("sid", "n_weights", norm.alias("gain"), F.aggregate("weights", F.lit(0.0), lambda a, w: a + w).alias("total"))
+
+
+@query
+def lpc32_from_context(spark, sf_dir):
+    """Linear prediction in a closed loop from sample 512 on, the samples before it taken as they are: indices and the worst error."""
+
+    def work(_sid, _rho, x, tau):
+        q, xhat = predictors.lpc_from(x, float(tau[0]), 512)
+        return {"n": np.array([max(0, len(x) - 512)]), "bits": np.array([rangecoder.code_length(q[512:])]), "held": np.array([bool(np.abs(xhat - x).max() <= tau[0] + 1e-6)])}
+
+    return by_series(with_tau(views.daily_revenue(spark, sf_dir), (0.05,)), ["sid", "rho"], ["x", "tau"], work, "n long, bits double, held boolean")

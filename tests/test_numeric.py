@@ -132,6 +132,9 @@ def test_serial_forms():
     a = np.array([5, 260, 7])
     data, w = compressors.serialize(a)
     assert w == 1 and compressors.serialize(a * 1000)[1] == 4
+    for b in (a, a * 1000, a - 300, a[:0]):
+        data, w = compressors.serialize(b)
+        assert (compressors.deserialize(data, w, int(b.min()) if len(b) else 0) == b).all()
     assert compressors.shuffle(b"abcdef", 2) == b"acebdf"
     found = compressors.sizes(walk(200))
     assert {"xz_raw", "bz2_delta_shuffled"} <= set(found)

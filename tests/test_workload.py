@@ -137,3 +137,20 @@ def test_spread_contexts_and_strides(spark, revenue):
     assert codes["A", "linear8"] * len(x) == pytest.approx(adaptive_laplace(x, p, 8, 96 * 8, 0.5) * (len(x) - 8), rel=1e-6)
     meta = {r["sid"]: r for r in rows_of(spark, "synthetic_meta")}
     assert len(meta) == 10 and {r["n"] for r in meta.values()} == {20_000} and meta["iid_noise"]["hi"] == 4095
+
+
+def test_baselines_and_fitted_gains(spark, revenue):
+    import bz2
+
+    from boundwave.operators import compressors
+
+    rows = {r["sid"]: r for r in rows_of(spark, "all_baselines")}
+    for sid, r in rows.items():
+        x = revenue[sid]
+        assert r["bz2_raw"] == pytest.approx(8 * len(bz2.compress(compressors.serialize(x)[0], 9)) / len(x))
+        assert r["best"] == min(workload.BASELINES, key=lambda k: r[k])
+    for r in rows_of(spark, "noise_gain_fitted"):
+        x = revenue[r["sid"]]
+        w = predictors.autoregression(x, r["n_weights"])
+        assert r["gain"] == pytest.approx(float(np.linalg.norm(w))) and r["total"] == pytest.approx(float(w.sum()))
+    assert all(r["held"] and r["n"] == len(revenue[r["sid"]]) - 512 for r in rows_of(spark, "lpc32_from_context"))
