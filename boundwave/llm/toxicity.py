@@ -303,14 +303,15 @@ class Lexicon:
     def __init__(self, features):
         self.kids: list[dict[int, int]] = [{}, {}, {}]
         self.last, self.ends = [0, 0, 0], [False, False, False]
-        self.others = set()  # features that no lattice spells
+        others = set()  # features that no lattice spells
         for f in sorted(set(features)):
             bare = f.lstrip("=^")
             if not all(c in _AT for c in bare):
-                self.others.add(f)
+                others.add(bare)
                 continue
             self._add(0, bare)
             self._add(1 if f != bare else 2, bare)
+        self.others = re.compile("|".join(map(re.escape, sorted(others)))) if others else None
 
     def _add(self, node: int, letters: str) -> None:
         for c in letters:
@@ -350,7 +351,7 @@ class Lexicon:
 
     def candidates(self, tokens: list[str]) -> list[bool]:
         """Which tokens may score; all that may are among them. Long ones are left to `spans`, whose work is linear."""
-        out = [len(t) > LONGEST_REMEMBERED or bool(self.others) for t in tokens]
+        out = [len(t) > LONGEST_REMEMBERED or (self.others is not None and self.others.search(t) is not None) for t in tokens]
         for kind, pattern in ((True, self.literal), (False, self.disguised)):
             own = [i for i, t in enumerate(tokens) if not out[i] and plain(t) is kind]
             line = "\n".join([tokens[i] for i in own])

@@ -270,6 +270,23 @@ def test_readings_are_the_best_of_all(token):
     assert not want or lexicon.spans(token)
 
 
+def test_sieve_loses_no_score():
+    r = np.random.default_rng(3)
+    weights = {"=idiot": 5.0, "^moro": 4.5, "clown": 4.0, "=b-word": 6.0, "=as": 3.6}
+    scorer = toxicity.Scorer(r.gamma(2.0, 1.5, (toxicity.N,) * 3), weights)
+    stems = ["idiot", "moron", "clown", "b-word", "as", "other", "tradition"]
+    tokens = set()
+    for _ in range(3000):
+        t = list("".join(r.choice(stems, int(r.integers(1, 3)))))
+        for _ in range(int(r.integers(0, 4))):
+            k = int(r.integers(len(t)))
+            t[k] = str(r.choice([t[k] * 2, "*", "#", "1", "0", "!", "@", ".", t[k] + ".", "-", "é", t[k] + "###"]))
+        tokens.add("".join(t))
+    tokens = sorted(tokens)
+    want = [max((weights.get(f, 0.0) for w in scorer.restored(t) for f in toxicity.word_features(w)), default=0.0) for t in tokens]
+    assert scorer.scores(tokens) == want and 100 < sum(w > 0 for w in want) < len(tokens)
+
+
 def test_marked_words_are_found_by_the_decoder_alone():
     scorer = toxicity.Scorer(np.ones((toxicity.N,) * 3), {"=idiot": 5.0})
     assert scorer.score("1d!0t") == 5.0
