@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chosen, per_slice, table, words_of
 
 VOCABULARY = "word_bpe_49k.json"
-#: Upper bounds of what one worker remembers: bytes of distinct words, and pairs of neighbours.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 24 << 20, 1_000_000
+#: Upper bounds of what one worker remembers: bytes of distinct words (with PER_WORD for the tables they are in), and pairs of neighbours.
+REMEMBERED_BYTES, PER_WORD, REMEMBERED_PAIRS = 32 << 20, 120, 1_000_000
 #: Longer pieces are merged one by one, with a heap.
 LONG_PIECE = 400
 NEVER = np.int64(1) << 40
@@ -331,13 +331,13 @@ class WordEncoder:
         packed = words.dictionary_encode()
         distinct = packed.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.at]
-        size = sum(map(len, new))
+        size = sum(map(len, new)) + PER_WORD * len(new)
         if new and self.held_bytes + size > REMEMBERED_BYTES:
             self._forget()
             new = distinct
         if new:
             self._learn(new)
-            self.held_bytes += sum(map(len, new))
+            self.held_bytes += sum(map(len, new)) + PER_WORD * len(new)
         place = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
         index = place[packed.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         sizes, starts = self.size[index], self.start[index]

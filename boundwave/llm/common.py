@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: What a word is in every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 SPREAD_BYTES = 64 << 20
 
 
@@ -29,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one text can be long; a user's own setting stands."""
-    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(16 << 20))):
-        name = f"spark.sql.execution.arrow.{key}"
+    """Keep Arrow batches small, as one text can be long, and let shuffle files go when their query has ended; a user's own setting stands."""
+    for name, value in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)),
+        ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
+    ):
         if spark.sparkContext.getConf().get(name) is None:
             spark.conf.set(name, value)
 
@@ -40,14 +45,23 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share; it goes at the driver's end at the latest.
+
+    Where that is unset, a local folder serves a local master; on a cluster it is an error, as executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="boundwave-")
-        root = _OWN[app]
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="boundwave-")
+        root = _OWN[context.applicationId]
+    name = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path.getParent())
+    system.deleteOnExit(path)
+    return name
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -116,10 +130,20 @@ def per_slice(work: Callable[..., pa.RecordBatch], column: str = "text"):
                 out = work(batch.slice(start, stop - start))
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return run
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, as Python workers live on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(offsets, words): text i has words[offsets[i]:offsets[i + 1]], split at ASCII white space; null has none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))

@@ -13,6 +13,10 @@ they stand. Texts that share four fifths of their five-word shingles are all fou
 
 Exact copies (equal words) are put under their least document first. Pairs already joined are never listed:
 in a group each text outside its most common component meets the others, so a family costs its rows.
+
+Defined results: null, empty and blank texts are exact copies of each other; texts of fewer than five words
+are one shingle; rows without doc_id are in no group and stay; rows with one doc_id are one document and
+share its fate; repeated rows stay or go together; other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, mix, per_slice, without, written
+from .common import chosen, drop_table, mix, per_slice, without, written
 from .components import components
 from .simhash import fingerprint, near_duplicates, shingle_hashes
 
@@ -197,10 +201,14 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     pairs = written(candidate_pairs(points))
     alike = verified(pairs, rows).select(F.col("b").alias("u"), F.col("a").alias("v"))
     linked = near_duplicates(rows).where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    quick = written(components(same.union(alike).union(linked)))
-    roots = heads.select("node").distinct().join(quick, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = verified(written(unjoined_pairs(prefixes(rows, shingle_counters(rows)), roots)), rows)
-    return components(quick.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    quick = components(same.union(alike).union(linked))
+    roots = written(heads.select("node").distinct().join(quick, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    left = written(unjoined_pairs(prefixes(rows, shingle_counters(rows)), roots))
+    rest = verified(left, rows)
+    groups = components(quick.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    for done in (own, heads, pairs, roots, left):
+        drop_table(done)
+    return groups
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chosen, drop_table, flat, place, per_slice, table, words_of, written
+from .common import chosen, drop_table, flat, place, per_slice, table, trim, words_of, written
 
-SAMPLE, REMEMBERED, COUNTED_BYTES = 12_000, 250_000, 1 << 20
+SAMPLE, REMEMBERED, COUNTED_BYTES = 12_000, 150_000, 1 << 20
 FOLDS = 5
 #: A feature counts if it is in this share of the toxic training texts, and has these log-odds, at least.
 LEAST_SHARE, LEAST_WEIGHT = 0.01, 3.5
@@ -514,18 +514,20 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Scorer:
                 for token in set((text or "").lower().split()):
                     got = held.get(token)
                     if got is None:
-                        got = [f for word in own.restored(token) for f in word_features(word)]
-                        if len(held) >= REMEMBERED:
+                        got = own.restored(token)
+                        if len(held) >= REMEMBERED // 4:
                             held.clear()
                         if len(token) <= LONGEST_REMEMBERED:
                             held[token] = got
-                    found.update(got)
+                    for word in got:
+                        found.update(word_features(word))
                 seen[label].update(found)
                 seen[label][""] += 1  # documents
-                if len(seen[0]) + len(seen[1]) > 500_000:
+                if len(seen[0]) + len(seen[1]) > 200_000:
                     yield _table(seen)
                     seen = (Counter(), Counter())
         yield _table(seen)
+        trim()
 
     sized = rows.repartition(spark.sparkContext.defaultParallelism)
     counts = sized.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
