@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token ids, in stages that are each written and read again."""
+"""A corpus from raw documents to token ids, in stages that are each written and read again.
+
+Each stage works on all documents that its predecessor kept. Null and empty texts are clean, have one empty
+line, and are exact copies of each other (the smallest doc_id stays); rows without doc_id pass every stage;
+an empty table gives no rows; further columns are passed on by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +52,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: Trained scores and library tokens are beyond SQL; the tests hold run() against a brute-force version.
+#: Trained scores and library tokens are beyond SQL; the tests hold run() against a chain of brute-force stages.
 ORACLE_SQL = None
 
 
