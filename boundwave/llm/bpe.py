@@ -18,7 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from .common import chosen, per_slice, table, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Upper bounds of what one worker remembers: bytes of distinct words (with PER_WORD for the tables they are in), and pairs of neighbours.
-REMEMBERED_BYTES, PER_WORD, REMEMBERED_PAIRS = 32 << 20, 120, 1_000_000
+#: With the library's own model there are no tables for merges, so more words have room.
+REMEMBERED_BYTES, PER_WORD, REMEMBERED_PAIRS = {"speculate": 32 << 20, "library": 64 << 20}, 120, 1_000_000
 #: Longer pieces are merged one by one, with a heap.
 LONG_PIECE = 400
 NEVER = np.int64(1) << 40
@@ -268,7 +269,7 @@ class WordEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.by = by
+        self.by, self.most_bytes = by, REMEMBERED_BYTES[by]
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.merges = Merges(model["vocab"], merges, model["end_of_word_suffix"]) if by == "speculate" else None
@@ -288,8 +289,9 @@ class WordEncoder:
         if word.isascii() and word.isalpha() and word.islower():
             return [word]
         if PLAIN.fullmatch(word):
-            letters = self.letters
-            return [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in self.split.findall(word.lower())]
+            letters, low = self.letters, word.lower()
+            parts = [low] if low.isalpha() else self.split.findall(low)
+            return [p if p.isascii() else "".join([letters[b] for b in p.encode()]) for p in parts]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
 
     def _by_pieces(self, words: list[str]) -> list[list[int]]:
@@ -311,16 +313,43 @@ class WordEncoder:
 
     def _store(self, words: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n, base = int(sizes.sum()), len(self.at), self.used
+        self._put(words, sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+
+    def _put(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        total, n, base = len(ids), len(self.at), self.used
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + len(words) > len(self.start):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[base : base + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[base : base + total] = ids
         self.start[n : n + len(words)] = base + np.cumsum(sizes) - sizes
         self.size[n : n + len(words)] = sizes
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += total
+        self.held_bytes += sum(map(len, words)) + PER_WORD * len(words)
+
+    def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, ends with a zero before them, ids) of the remembered words in `rows`."""
+        sizes, starts = self.size[rows], self.start[rows]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        return sizes, before, self.flat[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+
+    def _rows(self, distinct: list[str]) -> np.ndarray:
+        """Where each word is remembered; new ones are learned. If they are too many, only these words stay."""
+        rows = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(rows < 0)
+        if not len(unknown):
+            return rows
+        new = [distinct[i] for i in unknown]
+        if self.held_bytes + sum(map(len, new)) + PER_WORD * len(new) > self.most_bytes:
+            known = np.flatnonzero(rows >= 0)
+            sizes, _, ids = self._ids(rows[known])
+            self._forget()
+            self._put([distinct[i] for i in known], sizes, ids)
+            rows[known] = np.arange(len(known))
+        self._learn(new)
+        rows[unknown] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text i has ids[offsets[i]:offsets[i + 1]]."""
@@ -329,20 +358,9 @@ class WordEncoder:
             texts = loosened(texts)
         ends, words = words_of(texts)
         packed = words.dictionary_encode()
-        distinct = packed.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.at]
-        size = sum(map(len, new)) + PER_WORD * len(new)
-        if new and self.held_bytes + size > REMEMBERED_BYTES:
-            self._forget()
-            new = distinct
-        if new:
-            self._learn(new)
-            self.held_bytes += sum(map(len, new)) + PER_WORD * len(new)
-        place = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
-        index = place[packed.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        sizes, starts = self.size[index], self.start[index]
-        before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+        rows = self._rows(packed.dictionary.to_numpy(zero_copy_only=False).tolist())  # far faster than to_pylist
+        index = rows[packed.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        _, before, ids = self._ids(index)
         return before[ends], ids
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -374,7 +392,7 @@ _LOWER[65:91] += 32
 #: 1 for ASCII letters and digits, 2 for marks that may be cut off behind one.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(97, 123)]] = 1
-_KIND[[ord(c) for c in ".,;:!?|"]] = 2
+_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 2  # all but the apostrophe, which begins 's and its like
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 

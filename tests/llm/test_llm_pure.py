@@ -35,6 +35,23 @@ def test_encoding_equals_the_library(encoders):
         check_encoding(enc, [SQUARE * 50, "Strawberry unbelievably antidisestablishmentarianism"])
 
 
+def test_marks_at_words(encoders):
+    for enc in encoders:
+        check_encoding(enc, ["it's$ it$'s a$$$ a$'ll b%%'s c#d_e-f 'S ''s $s 1a2$3 <|STARTOFTEXT|> a<|endofText|>", "\u0130. \xc9$ \xd7% a\xad."])
+    assert bpe.loosened(pa.array(["erteen$$$ d'an%"], pa.large_string())).to_pylist() == ["erteen $$$ d'an %"]
+
+
+def test_words_at_hand_outlive_full_memory():
+    enc = bpe.WordEncoder(bpe.vocabulary_path(), "library")
+    enc.most_bytes = 4 * (bpe.PER_WORD + 10)
+    learned, learn = [], enc._learn
+    enc._learn = lambda words: (learned.extend(words), learn(words))[1]
+    for text in ("one two three", "three two four five", "five six", "one unbelievably six six", "seven " * 3):
+        check_encoding(enc, [text, None, text])
+    assert learned == ["one", "two", "three", "four", "five", "six", "one", "unbelievably", "seven"]
+    assert enc.held_bytes == sum(map(len, enc.at)) + bpe.PER_WORD * len(enc.at)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeinorst '.,!1Éñ"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
 def test_encoding_of_any_text(encoders, texts):
