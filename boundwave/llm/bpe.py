@@ -375,11 +375,16 @@ def joined(offsets: np.ndarray, parts: pa.Array) -> pa.Array:
 def loosened(texts: pa.Array) -> pa.Array:
     """The same tokens from fewer distinct words: A-Z lowered, and a space put between a letter or digit and a mark behind it.
 
-    The splitting pattern never joins these two, and lower-casing is one of its normalisers."""
+    The splitting pattern never joins these two, and lower-casing is one of its normalisers. It comes after NFC, and some small
+    letters compose with a mark where the capital does not; so a capital stays before what may be a combining mark."""
     size = len(texts)
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + size + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if size else np.zeros(0, np.uint8)
-    data = _LOWER[data]
+    low = _LOWER[data]
+    if len(data) and data.max() >= _COMBINING:
+        stays = np.flatnonzero((data[1:] >= _COMBINING) & (low[:-1] != data[:-1]))
+        low[stays] = data[stays]
+    data = low
     kind = _KIND[data]
     cut = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
     ends = ends - (ends[0] if size else 0)
@@ -389,6 +394,8 @@ def loosened(texts: pa.Array) -> pa.Array:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: First bytes from here on may begin a combining mark; lower ones begin characters up to U+00FF.
+_COMBINING = 0xC4
 #: 1 for ASCII letters and digits, 2 for marks that may be cut off behind one.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(97, 123)]] = 1

@@ -35,6 +35,12 @@ def test_encoding_equals_the_library(encoders):
         check_encoding(enc, [SQUARE * 50, "Strawberry unbelievably antidisestablishmentarianism"])
 
 
+@pytest.mark.parametrize("text", ["T\u0308 x", "H\u0331.", "aJ\u030c!", "W\u030a", "Y\u030a", "T\u0323\u0308", "E\u0301t\u0308", "A<\u0338B"])
+def test_capitals_before_combining_marks(encoders, text):
+    for enc in encoders:
+        check_encoding(enc, [text, f"One {text}, Two {text}"])
+
+
 def test_marks_at_words(encoders):
     for enc in encoders:
         check_encoding(enc, ["it's$ it$'s a$$$ a$'ll b%%'s c#d_e-f 'S ''s $s 1a2$3 <|STARTOFTEXT|> a<|endofText|>", "\u0130. \xc9$ \xd7% a\xad."])
